@@ -11,6 +11,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from lexmesh.llm.common import cut, text_of
 from lexmesh.llm.graph import components
@@ -37,7 +38,7 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in texts], dtype=np.uint64).astype(np.int64)
 
