@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmesh.llm import decontam, mixing, quality, simhash, tokencount, tokenfile
+from lexmesh.llm import decontam, html, lm, mixing, quality, simhash, tokencount, tokenfile
 from lexmesh.llm.common import table
 
 
@@ -14,6 +14,8 @@ QUERIES = {
     "op1_quality_rules": _documents(quality.quality_rules),
     "op2_simhash_near_dedup": _documents(simhash.near_duplicates),
     "op3_token_id_output": _documents(tokenfile.token_digest),
+    "op6_lm_scoring": _documents(lm.score_documents),
+    "op7_html_extraction": lambda spark, sf_dir: html.extract(table(spark, sf_dir, "pages")),
     "op8_benchmark_decontamination": lambda spark, sf_dir: decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
     "op9_token_counts": _documents(tokencount.token_counts),
     "op10_source_mixing": _documents(mixing.mix_report),
