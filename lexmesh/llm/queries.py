@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmesh.llm import decontam, html, linededup, lm, mixing, quality, simhash, tokencount, tokenfile
+from lexmesh.llm import decontam, html, linededup, lm, mixing, quality, simhash, suffixdedup, tokencount, tokenfile
 from lexmesh.llm.common import table
 
 
@@ -14,6 +14,7 @@ QUERIES = {
     "op1_quality_rules": _documents(quality.quality_rules),
     "op2_simhash_near_dedup": _documents(simhash.near_duplicates),
     "op3_token_id_output": _documents(tokenfile.token_digest),
+    "op4_suffix_array_dedup": _documents(suffixdedup.remove_repeats),
     "op5_line_dedup": _documents(linededup.dedup_report),
     "op6_lm_scoring": _documents(lm.score_documents),
     "op7_html_extraction": lambda spark, sf_dir: html.extract(table(spark, sf_dir, "pages")),
