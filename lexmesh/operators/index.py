@@ -14,6 +14,7 @@ from lexmesh.functions.distance import hash_parts
 from lexmesh.functions.text import DELIMITERS, augment, check_vocabulary, normalize_term, split_terms, subwords, subwords_of
 from lexmesh.functions.tlsh import tlsh_hash
 from lexmesh.functions.translit import unigram
+from lexmesh.sources.storage import settle
 
 #: Vocabularies up to this size are searched by expressions, larger ones by an Arrow function.
 EXPRESSION_VOCABULARY = 200
@@ -89,7 +90,8 @@ def index_batch(docs: DataFrame, options: Options, subword_terms: bool = True, o
     seen = placed.select("key", "_order", F.posexplode(split_terms(F.col("text"), opts.delimiters)).alias("pos", "word"))
     seen = seen.groupBy("word", "key").agg(F.min(F.struct(F.col("_order").alias("doc"), F.col("pos"))).alias("at"))
     words = terms(seen, opts)
-    dim = words.join(hashed(words, opts).drop("unigram"), "norm").select("word", "rank", *[c for c in HASH_COLUMNS])
+    # Settled, so that each distinct term is hashed once however often the two results are read.
+    dim = settle(words.join(hashed(words, opts).drop("unigram"), "norm").select("word", "rank", *HASH_COLUMNS), "terms")
     met = seen.join(dim, "word")
     # Sub-words come after all words of their document, in vocabulary order.
     first = F.struct(F.col("at.doc").alias("doc"), F.when(F.col("rank") < 0, F.lit(0)).otherwise(1).alias("sub"), F.when(F.col("rank") < 0, F.col("at.pos")).otherwise(F.col("rank")).alias("pos"))
