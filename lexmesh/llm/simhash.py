@@ -140,7 +140,7 @@ def _stars(fp: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray
         at = at[group[at] == group[at + lag]]
         if not len(at):
             break
-        near = np.bitwise_count(fp[at] ^ fp[at + lag]) <= distance
+        near = np.bitwise_count((fp[at] ^ fp[at + lag]).view(np.uint64)) <= distance  # of a signed number it would count the absolute value's bits
         a.append(at[near])
         b.append(at[near] + lag)
         lag += 1
