@@ -74,6 +74,8 @@ class RunIndex:
         text = np.frombuffer(b"\0".join(passages) + b"\0", np.uint8).astype(np.int64) + 1
         text[self.ends] = 0
         self.text = text
+        self.left = (self.ends[self.owner] - np.arange(len(text))).astype(np.int32)
+        self._pack()
         order = self._order()
         before = np.where(np.isin(order, self.starts, assume_unique=True), -1, text[order - 1])
         self.first_rows = np.flatnonzero(np.append(True, (before[1:] != before[:-1]) | (before[1:] < 1)))
@@ -82,59 +84,73 @@ class RunIndex:
         self.first_samples, self.last_samples = order[self.first_rows], order[np.append(self.first_rows[1:], len(order)) - 1]
         self.order = order
 
+    def _pack(self) -> None:
+        """For each position as many letters as one number holds, nothing from the end mark on."""
+        codes = np.cumsum(np.bincount(self.text, minlength=257) > 0) - 1  # the mark is 0, the letters follow in order
+        self.bits = max(1, int(codes[-1]).bit_length())
+        self.letters = 62 // self.bits
+        dense, n = codes[self.text], len(self.text)
+        self.packed = np.zeros(n, np.int64)
+        for k in range(self.letters):
+            self.packed <<= self.bits
+            self.packed[: n - k] |= np.where(self.left[: n - k] >= k, dense[k:], 0)
+
     def _order(self) -> np.ndarray:
-        """Positions in the order of their suffixes, each up to its passage's end mark; the marks rank as their passages do."""
-        n, left = len(self.text), self.ends[self.owner] - np.arange(len(self.text))
-        key = np.zeros(n, np.int64)
-        for k in range(7):
-            step = np.zeros(n, np.int64)
-            step[: n - k] = self.text[k:]
-            key = (key << 9) | np.where(left >= k, step, 0)
-        depth, passages = 7, len(self.ends)
-        while True:
-            order = np.argsort(key)
-            fresh = np.append(True, key[order][1:] != key[order][:-1])
-            rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(fresh) - 1
-            if fresh.all():
-                return order
-            after = np.minimum(np.arange(n) + depth, n - 1)
-            key = rank * (n + passages + 1) + np.where(left < depth, self.owner, passages + rank[after])
+        """Positions in the order of their suffixes, each up to its passage's end mark; the marks rank as their passages do.
+
+        Sorted by the packed letters first, then by doubling; from round to round only positions that are still tied are
+        sorted again. A rank is the first row of the tie.
+        """
+        n, passages, left, key = len(self.text), len(self.ends), self.left, self.packed
+        order = np.argsort(key)
+        sorted_key = key[order]
+        fresh = np.append(True, sorted_key[1:] != sorted_key[:-1])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+        depth = self.letters
+        rows = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+        while len(rows):
+            at = order[rows]
+            after = rank[np.minimum(at + depth, n - 1)]
+            key = rank[at] * (n + passages + 1) + np.where(left[at] < depth, self.owner[at], passages + after)
+            by = np.argsort(key)
+            at, key = at[by], key[by]
+            order[rows] = at
+            fresh = np.append(True, key[1:] != key[:-1])
+            rank[at] = rows[np.maximum.accumulate(np.where(fresh, np.arange(len(rows)), 0))]
+            rows = rows[~(fresh & np.append(fresh[1:], True))]
             depth *= 2
+        return order
+
+    def _shared(self, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
+        """How many letters the suffixes at a and b share, cap at most; end marks are never shared."""
+        out, open_ = np.zeros(len(a), np.int64), np.arange(len(a))
+        n = len(self.text)
+        for at in range(0, cap, self.letters):
+            differ = self.packed[np.minimum(a[open_] + at, n - 1)] ^ self.packed[np.minimum(b[open_] + at, n - 1)]
+            for k in range(1, self.letters + 1):
+                out[open_] += differ >> self.bits * (self.letters - k) == 0
+            open_ = open_[(differ == 0) & (np.minimum(self.left[a[open_]], self.left[b[open_]]) > at + self.letters)]
+        return np.minimum(np.minimum(out, cap), np.minimum(self.left[a], self.left[b]))
 
     def match_lengths(self, cap: int = LENGTH) -> np.ndarray:
         """By row: the bytes that its suffix shares with the row above's, cap at most.
 
         Letters are compared only where runs begin, between the sampled ends of two runs. The other lengths follow while
-        the text streams by: within a run the match of a position is that of the position before it less one.
+        the text streams by: within a run the match of a position is that of the position before it less one. A match cut
+        at cap hides how long it is; positions behind such a one are compared themselves.
         """
-        a, b = self.first_samples[1:], self.last_samples[:-1]
-        shared = np.zeros(len(self.first_rows), np.int64)
-        open_, n = np.arange(1, len(self.first_rows)), len(self.text)
-        for k in range(cap):
-            x, y = np.minimum(a + k, n - 1), np.minimum(b + k, n - 1)
-            same = (self.text[x] == self.text[y]) & (self.text[x] > 0)
-            a, b, open_ = a[same], b[same], open_[same]
-            shared[open_] += 1
-        # A match cut at cap hides how long it is; where it ends is found from the text's own end marks below.
+        n = len(self.text)
         fixed = np.full(n, -1, np.int64)
-        fixed[self.first_samples] = shared
-        rows = np.empty(n, np.int64)
-        rows[self.order] = np.arange(n)
+        fixed[self.first_samples] = np.append(0, self._shared(self.first_samples[1:], self.last_samples[:-1], cap))
         source = np.maximum.accumulate(np.where(fixed >= 0, np.arange(n), 0))
-        full = fixed[source] >= cap
-        out = np.maximum(fixed[source] - (np.arange(n) - source), 0)
-        again = np.flatnonzero(full & (source != np.arange(n)) & (out < cap))
+        behind = np.arange(n) - source
+        out = np.maximum(fixed[source] - behind, 0)
+        again = np.flatnonzero((fixed[source] >= cap) & (behind > 0))
         if len(again):
-            above = self.order[np.maximum(rows[again] - 1, 0)]
-            x, y, who = again.copy(), above, np.arange(len(again))
-            grown = np.zeros(len(again), np.int64)
-            for k in range(cap):
-                i, j = np.minimum(x + k, n - 1), np.minimum(y + k, n - 1)
-                same = (self.text[i] == self.text[j]) & (self.text[i] > 0)
-                x, y, who = x[same], y[same], who[same]
-                grown[who] += 1
-            out[again] = grown
+            rows = np.empty(n, np.int64)
+            rows[self.order] = np.arange(n)
+            out[again] = self._shared(again, self.order[np.maximum(rows[again] - 1, 0)], cap)
         return out[self.order]
 
 
@@ -157,12 +173,17 @@ NAMES = pa.schema([("_rid", pa.int64()), ("_doc", pa.int64()), ("n_bytes", pa.in
 def _names(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for rid, doc, text in zip(*(batch[c].to_pylist() for c in ("_rid", "_doc", "_t")), strict=True):
+            sizes, digests, names = [], [], []
+            for text in batch["_t"].to_pylist():
                 data = text.encode("utf-8", "surrogatepass")
-                found = [np.unique(v) for v, _, _ in named_runs(data, length)]
-                rows.append((rid, doc, len(data), hashlib.sha256(data).hexdigest(), np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), NAMES, strict=True)], schema=NAMES)
+                found = [v for v, _, _ in named_runs(data, length)]
+                sizes.append(len(data))
+                digests.append(hashlib.sha256(data).hexdigest())
+                names.append(np.unique(np.concatenate(found)) if found else np.empty(0, np.int64))
+            ends = np.cumsum([0, *map(len, names)]).astype(np.int32)
+            flat = np.concatenate(names) if names else np.empty(0, np.int64)
+            cols = [batch["_rid"], batch["_doc"], pa.array(sizes, pa.int64()), pa.array(digests), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(cols, NAMES.names)
 
     return run
 
@@ -173,15 +194,16 @@ PASSAGES = pa.schema([("_rid", pa.int64()), ("_doc", pa.int64()), ("name", pa.in
 def _passages(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            cols: list[list] = [[], [], [], [], []]
             for rid, doc, text, wanted in zip(batch["_rid"].to_pylist(), batch["_doc"].to_pylist(), batch["_t"].to_pylist(), batch["_wanted"], strict=True):
                 data, wanted = text.encode("utf-8", "surrogatepass"), np.sort(wanted.values.to_numpy(zero_copy_only=False))
                 for names, first, n in named_runs(data, length):
                     spot = np.minimum(np.searchsorted(wanted, names), len(wanted) - 1)
                     hit = np.flatnonzero(wanted[spot] == names)
-                    if len(hit):
-                        at, end = first[hit], first[hit] + n[hit] + length - 1
-                        cols = [np.full(len(hit), rid), pa.array([doc] * len(hit), pa.int64()), names[hit], at, [data[i:j] for i, j in zip(at.tolist(), end.tolist(), strict=True)]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PASSAGES, strict=True)], schema=PASSAGES)
+                    at, end = first[hit], first[hit] + n[hit] + length - 1
+                    for col, new in zip(cols, ([rid] * len(hit), [doc] * len(hit), names[hit].tolist(), at.tolist(), [data[i:j] for i, j in zip(at.tolist(), end.tolist(), strict=True)]), strict=True):
+                        col += new
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PASSAGES, strict=True)], schema=PASSAGES)
 
     return run
 
