@@ -1,8 +1,16 @@
-"""Fuzzy line deduplication by MinHash of character shingles, with DataFrame functions only."""
+"""Fuzzy line deduplication by MinHash of character shingles.
+
+Signatures and the verification are Arrow functions; made of built-in functions alone, signatures cost several times the
+time that a run may take (see the README). Search, comparison order and components are DataFrame operations.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmesh.llm.common import cut, text_of
@@ -14,66 +22,104 @@ SIMILARITY_PERCENT = 80
 BANDS, ROWS = 16, 5
 
 
-def shingles(line: Column) -> Column:
-    """All 5-character windows of a line, repeats kept; a shorter line is its own one."""
-    return F.when(F.length(line) > SHINGLE, F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))).otherwise(F.array(line))
+def shingles(line: str) -> set[str]:
+    """The 5-character windows of a line; a shorter line is its own one."""
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def _marks() -> list[int]:
-    """Evenly spaced points of the ring of 64-bit numbers, in signed order."""
-    n = BANDS * ROWS
-    return [-(1 << 63) + (2 * i + 1) * (1 << 64) // (2 * n) for i in range(n)]
+def mix(x: np.ndarray) -> np.ndarray:
+    """Scatter 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return x ^ (x >> np.uint64(33))
 
 
-def band_keys(df: DataFrame, line: str) -> DataFrame:
-    """Add _bands, the array of band keys of the column line.
+def band_keys(lines: list[str]) -> np.ndarray:
+    """BANDS keys of each line, by one hash a shingle.
 
-    MinHash by one hash: hashes lie on a ring, and the signature's value i is the first one at or after mark i (with
-    wrap-around), the least under a rotation of the ring. Marks and hashes are sorted together once; mark i's place less
-    i is the number of hashes below it. A band takes marks a fifth of the ring apart, so short lines too give bands of
-    different shingles.
+    Hashes lie on a ring of 2^40 points, and the signature's value i is the first one at or after mark i of evenly spaced
+    marks (with wrap-around), the least under a rotation of the ring. All lines' hashes are sorted together once, by line
+    and place. A band takes marks a fifth of the ring apart, so short lines too give bands of different shingles.
     """
-    marks = _marks()
-    df = df.withColumn("_h", F.sort_array(F.transform(shingles(F.col(line)), lambda s: F.xxhash64(s))))
-    df = df.withColumn("_all", F.sort_array(F.concat(F.col("_h"), F.array(*map(F.lit, marks)))))
-    n = F.size("_h")
-    value = lambda i: F.get("_h", F.pmod((F.array_position("_all", F.lit(marks[i])) - 1 - i).cast("int"), n))
-    bands = [F.xxhash64(F.lit(b), *[value(b + r * BANDS) for r in range(ROWS)]) for b in range(BANDS)]
-    return df.withColumn("_bands", F.array(*bands)).drop("_h", "_all")
-
-
-def similar(a: str, b: str) -> Column:
-    """Whether the shingle sets of two columns of shingle arrays (distinct) have a Jaccard similarity of 0.8 or more."""
-    both = F.size(F.array_intersect(a, b))
-    return 100 * both >= SIMILARITY_PERCENT * (F.size(a) + F.size(b) - both)
+    n, marks = len(lines), BANDS * ROWS
+    sizes = np.array([len(x) for x in lines], np.int64)
+    pad = SHINGLE - 1  # so that each line has at least one window and none reaches into the next one
+    codes = np.frombuffer(("\0" * pad).join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    starts = np.cumsum(sizes + pad) - sizes - pad
+    with np.errstate(over="ignore"):
+        rolled = codes[: len(codes) - pad] * np.uint64(1)
+        for k in range(1, SHINGLE):
+            rolled = rolled * np.uint64(0x100000001B3) + codes[k : len(codes) - pad + k]
+    counts = np.maximum(1, sizes - pad)
+    own = np.repeat(np.arange(n, dtype=np.uint64), counts)
+    first = np.cumsum(counts) - counts
+    at = np.arange(counts.sum()) - np.repeat(first - starts, counts)
+    ring = np.sort(own << np.uint64(40) | mix(rolled[at]) >> np.uint64(24))
+    wanted = (np.arange(n, dtype=np.uint64)[:, None] << np.uint64(40)) + (np.arange(marks, dtype=np.uint64) * np.uint64((1 << 40) // marks))[None, :]
+    spot = np.searchsorted(ring, wanted.ravel()).reshape(n, marks)
+    spot = np.where(spot >= (first + counts)[:, None], first[:, None], spot)
+    values = mix(ring[spot] & np.uint64((1 << 40) - 1))
+    out = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], n, axis=0)
+    with np.errstate(over="ignore"):
+        for r in range(ROWS):
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + values[:, r * BANDS : (r + 1) * BANDS])
+    return out.view(np.int64)
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, lines = batch["_key"].to_numpy(), batch["_line"].to_pylist()
+        at = 0
+        while at < len(lines):  # a part of at most about a million characters, or one longer line
+            end, size = at, 0
+            while end < len(lines) and (end == at or size + len(lines[end]) < 1_000_000) and end - at < 8192:
+                size += len(lines[end])
+                end += 1
+            bands = band_keys(lines[at:end])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys[at:end], BANDS)), pa.array(bands.ravel())], ["_key", "_band"])
+            at = end
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose shingle sets have a Jaccard similarity of 0.8 or more."""
+    for batch in batches:
+        keep, last, one = [], None, set()
+        for x, y in zip(batch["_la"].to_pylist(), batch["_lb"].to_pylist(), strict=True):
+            if x != last:
+                last, one = x, shingles(x)
+            two = shingles(y)
+            both = len(one & two)
+            keep.append(100 * both >= SIMILARITY_PERCENT * (len(one) + len(two) - both))
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of line keys that are similar."""
-    a, b = (texts.select(F.col("_key").alias(f"_k{x}"), F.array_distinct(shingles(F.col("_line"))).alias(f"_s{x}")) for x in "ab")
+    a, b = (texts.select(F.col("_key").alias(f"_k{x}"), F.col("_line").alias(f"_l{x}")) for x in "ab")
     met = pairs.join(a, F.col("a") == F.col("_ka")).join(b, F.col("b") == F.col("_kb"))
-    return met.filter(similar("_sa", "_sb")).select("a", "b")
+    return met.select("a", "b", "_la", "_lb").mapInArrow(_similar, "a long, b long")
 
 
-def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(_rid, _doc, _no, _line, _key) of every line with a character other than space and \\t to \\r."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(doc_id).cast("long").alias("_doc"), F.posexplode(F.split(text_of(text), "\n", -1)).alias("_no", "_line"))
-    return rows.filter(F.col("_line").rlike("[^ \\t-\\r]")).withColumn("_key", F.xxhash64("_line"))
+def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(_rid, _doc, _t) of docs, written, so that row numbers hold wherever it is read."""
+    return cut(docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(doc_id).cast("long").alias("_doc"), text_of(text).alias("_t")), "rows")
 
 
-def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_classes(rows: DataFrame) -> DataFrame:
     """(_rid, _doc, _no, component, kept) of every line with a word: equal and similar lines form one component, chains included.
 
     The first line of a component in the order of (doc_id, line number) is kept. Lines are equal if their 64-bit hashes
     are. Within a bucket all lines are compared with the bucket's first; only those not similar to it are compared with
     the rest of the bucket, so a large group of copies costs one comparison a line and no link is lost.
     """
-    lines = lines_of(docs, doc_id, text)
+    lines = rows.select("_rid", "_doc", F.posexplode(F.split("_t", "\n", -1)).alias("_no", "_line"))
+    lines = lines.filter(F.col("_line").rlike("[^ \\t-\\r]")).withColumn("_key", F.xxhash64("_line"))
     places = cut(lines.select("_rid", "_doc", "_no", "_key"), "lines")
-    banded = cut(band_keys(lines.select("_key", "_line"), "_line").select("_key", "_bands"), "bands")
-    keyed = banded.select("_key", F.explode("_bands").alias("_band"))
-    buckets = keyed.groupBy("_band").agg(F.min("_key").alias("low"), F.max("_key").alias("high")).filter("low != high").select(F.col("_band").alias("_b"), "low")
-    met = cut(keyed.join(buckets, F.col("_band") == F.col("_b")).select("_band", "_key", "low").distinct(), "buckets")
+    by_band = Window.partitionBy("_band")
+    keyed = lines.select("_key", "_line").mapInArrow(_banded, "_key long, _band long")
+    met = keyed.select("*", F.min("_key").over(by_band).alias("low"), F.max("_key").over(by_band).alias("_high"))
+    met = cut(met.filter("low != _high").drop("_high").distinct(), "buckets")
     first = met.filter("_key != low").select(F.col("low").alias("a"), F.col("_key").alias("b")).distinct()
     wanted = cut(met.select(F.col("_key").alias("_w")).distinct(), "wanted")
     texts = cut(lines.join(wanted, F.col("_key") == F.col("_w"), "left_semi").select("_key", "_line").dropDuplicates(["_key"]), "texts")
@@ -95,17 +141,19 @@ def dedup_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     last in the order. Repeated rows are documents of their own, the later ones losing their lines. An empty table gives
     no rows. Other columns are not read.
     """
-    by = line_classes(docs, doc_id, text).groupBy("_rid").agg(F.count(F.lit(1)).alias("n_lines"), F.sum((~F.col("kept")).cast("long")).alias("n_removed")).withColumnRenamed("_rid", "_r")
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(doc_id).cast("long").alias("doc_id"))
+    rows = numbered(docs, doc_id, text)
+    by = line_classes(rows).groupBy("_rid").agg(F.count(F.lit(1)).alias("n_lines"), F.sum((~F.col("kept")).cast("long")).alias("n_removed")).withColumnRenamed("_rid", "_r")
     zero = F.lit(0).cast("long")
-    return rows.join(by, F.col("_rid") == F.col("_r"), "left").select("doc_id", F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_removed", zero).alias("n_removed"))
+    out = rows.select("_rid", "_doc").join(by, F.col("_rid") == F.col("_r"), "left")
+    return out.select(F.col("_doc").alias("doc_id"), F.coalesce("n_lines", zero).alias("n_lines"), F.coalesce("n_removed", zero).alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the later lines of each component taken out of their texts; all columns and rows stay."""
-    gone = line_classes(docs, doc_id, text).filter("not kept").groupBy("_rid").agg(F.collect_list("_no").alias("_gone")).withColumnRenamed("_rid", "_r")
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    met = rows.join(gone, F.col("_rid") == F.col("_r"), "left")
+    packed = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = cut(packed.select(F.monotonically_increasing_id().alias("_rid"), F.col("_id").cast("long").alias("_doc"), text_of("_text").alias("_t"), "_row"), "rows")
+    gone = line_classes(rows.drop("_row")).filter("not kept").groupBy("_rid").agg(F.collect_list("_no").alias("_gone")).withColumnRenamed("_rid", "_r")
+    met = rows.select("_rid", "_row").join(gone, F.col("_rid") == F.col("_r"), "left")
     kept = F.array_join(F.filter(F.split(F.col(f"_row.`{text}`"), "\n", -1), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     new = F.when(F.col("_gone").isNull(), F.col(f"_row.`{text}`")).otherwise(kept)
     return met.select(*[(new if c == text else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
