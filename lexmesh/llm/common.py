@@ -29,6 +29,9 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there and a lost executor recomputes nothing above."""
     spark = df.sparkSession
@@ -36,17 +39,50 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._lexmesh_path = path
+    _written.append(path)
     return back
 
 
 def discard(df: DataFrame) -> None:
     """Delete the files behind a result of cut() that nothing reads any more."""
-    spark, path = df.sparkSession, df._lexmesh_path
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    delete(df.sparkSession, df._lexmesh_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it is stored; one that is gone already is no error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def one_at_a_time(stage):
+    """Make a stage function (spark, docs, sf_dir) delete what the stage before it had cut.
+
+    That is safe where each stage's result is written before the next one starts, which then reads the written files.
+    """
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _of_stages:
+            delete(spark, _of_stages.pop())
+        before = len(_written)
+        out = stage(spark, docs, sf_dir)
+        _of_stages.extend(_written[before:])
+        return out
+
+    run.__doc__ = stage.__doc__
+    return run
+
+
+_of_stages: list[str] = []
+
+#: Rows of a few bytes that a broadcast may hold.
+SMALL_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows; else it is joined by shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def text_of(col: str | Column) -> Column:
     """The text as a string, a null one as the empty text."""
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))
@@ -64,3 +100,30 @@ def lower_ascii(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Remembered(dict):
+    """A bounded memory from keys to what make(keys) gives, in two generations.
+
+    When the young one is full it becomes the old one and a new one begins; what is used again moves over. Frequent keys
+    so stay, and never more than 2 * bound are held.
+    """
+
+    def __init__(self, make, bound: int):
+        super().__init__()
+        self.make, self.bound, self.old = make, bound, {}
+
+    def need(self, keys: set) -> None:
+        """See that all keys are there, making those that are new."""
+        if len(self) > self.bound:
+            self.old = dict(self)
+            self.clear()
+        new = []
+        for k in keys.difference(self):
+            got = self.old.get(k)
+            if got is None:
+                new.append(k)
+            else:
+                self[k] = got
+        if new:
+            self.update(zip(new, self.make(new), strict=True))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import cut, text_of, words_of
+from lexmesh.llm.common import broadcast_if_small, cut, text_of, words_of
 
 SHINGLE = 5
 CONTAINMENT_PERCENT = 80
@@ -63,9 +63,8 @@ def contained_items(rows: DataFrame, items: DataFrame) -> DataFrame:
     return shared.join(found, ["_rid", "_iid"], "left_semi")
 
 
-def keyed(docs: DataFrame, doc_id: str, text: str, carry: bool = False) -> DataFrame:
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
-    return cut(docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(doc_id).alias("_doc"), text_of(text).alias("_t"), *row), "keyed")
+def keyed(docs: DataFrame, doc_id: str, *what: Column) -> DataFrame:
+    return cut(docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(doc_id).alias("_doc"), *what), "keyed")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -77,15 +76,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     give no pairs. Other columns are not read.
     """
     items = benchmark.select(F.col(item_id).alias("_item"), text_of(item_text).alias("_t")).filter(F.col("_item").isNotNull())
-    found = contained_items(keyed(docs, doc_id, text), items)
+    found = contained_items(keyed(docs, doc_id, text_of(text).alias("_t")), items)
     return found.select(F.col("_doc").alias("doc_id"), F.col("_item").alias("item_id"), "n_item", "n_shared")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs that contain no benchmark item, with all their columns."""
     items = benchmark.select(F.col(item_id).alias("_item"), text_of(item_text).alias("_t")).filter(F.col("_item").isNotNull())
-    rows = keyed(docs, doc_id, text, carry=True)
-    bad = contained_items(rows.select("_rid", "_doc", "_t"), items).select("_rid").distinct()
+    rows = keyed(docs, doc_id, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    bad = contained_items(rows.select("_rid", "_doc", text_of(F.col(f"_row.`{text}`")).alias("_t")), items).select("_rid").distinct()
+    bad = broadcast_if_small(cut(bad, "leaks"))
     return rows.join(bad, "_rid", "left_anti").select("_row.*")
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import SPACE, cut, text_of
+from lexmesh.llm.common import cut, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -68,9 +68,9 @@ def copies(scheduled: DataFrame) -> DataFrame:
     return out.orderBy("finish", F.col("_source").asc_nulls_last(), "start", "pass")
 
 
-def sized_rows(docs: DataFrame, doc_id: str, text: str, source: str, carry: bool) -> DataFrame:
+def sized_rows(docs: DataFrame, doc_id: str, text: str, source: str, row: list[Column]) -> DataFrame:
+    """(_rid, _id, _source, size) and row of docs, written."""
     size = F.regexp_count(text_of(text), F.lit("[^ \\t-\\r]+")).cast("long").alias("size")
-    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")] if carry else []
     return cut(docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(doc_id).alias("_id"), F.col(source).cast("string").alias("_source"), size, *row), "sizes")
 
 
@@ -80,7 +80,7 @@ def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     Nulls: a null text has size 0 and nothing of it is taken; null sources form the last source. Empty texts are of size
     0. Rows that repeat are documents of their own. An empty table gives no rows. Other columns are not read.
     """
-    placed = schedule(sized_rows(docs, doc_id, text, source, False))
+    placed = schedule(sized_rows(docs, doc_id, text, source, []))
     taken = copies(placed).groupBy("_rid").agg(F.sum("words").alias("taken")).withColumnRenamed("_rid", "_t")
     out = placed.join(taken, F.col("_rid") == F.col("_t"), "left")
     return out.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
@@ -91,8 +91,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
     A document is delivered whole: the copy in service at the end of the budget goes in if at least half of it fits.
     """
-    taken = copies(schedule(sized_rows(docs, doc_id, text, source, True)))
-    return taken.filter(2 * F.col("words") >= F.col("size")).select("_row.*")
+    rows = sized_rows(docs, doc_id, text, source, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")])
+    taken = copies(schedule(rows.drop("_row"))).filter(2 * F.col("words") >= F.col("size"))
+    times = taken.groupBy("_rid").agg(F.sort_array(F.collect_list("finish")).alias("_times")).withColumnRenamed("_rid", "_t")  # of two passes
+    met = rows.select("_rid", "_row").join(times, F.col("_rid") == F.col("_t"))
+    return met.select("_rid", "_row", F.explode("_times").alias("_finish")).orderBy("_finish", "_rid").select("_row.*")
 
 
 ORACLE = f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import SPACE, cut, text_of, words_of
+from lexmesh.llm.common import broadcast_if_small, cut, text_of, words_of
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -89,7 +89,7 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> Data
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     features = cut(with_features(docs, text_of(text), [row, F.col(host).alias("_host")]).select("_row", "_host", "base_failed"), "quality")
     verdicts = host_verdicts(features.select("_host", "base_failed"))
-    rejected = verdicts.filter("host_rejected").select(F.col("_host").alias("_of"))
+    rejected = broadcast_if_small(cut(verdicts.filter("host_rejected").select(F.col("_host").alias("_of")), "rejected"))
     good = features.filter(~F.col("base_failed")).join(rejected, F.col("_host").eqNullSafe(F.col("_of")), "left_anti")
     return good.select("_row.*")
 
