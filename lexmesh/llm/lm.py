@@ -43,10 +43,11 @@ class Vocabulary:
     counts: np.ndarray  # of ids, [0] is what is not sent
     n: int  # tokens
     v: int  # distinct tokens
+    own: int  # words that the model may have
 
     @property
     def size(self) -> int:
-        return min(len(self.ids), MODEL_WORDS) + 1
+        return min(len(self.ids), self.own) + 1
 
     def counts_of_model(self) -> np.ndarray:
         """Counts of the model's symbols, the unknown one first."""
@@ -277,7 +278,7 @@ def count_words(train_rows: DataFrame) -> tuple[DataFrame, Vocabulary]:
     row = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     top = counts.orderBy(F.desc("n"), "word").limit(SENT_WORDS).collect()
     ids = {bytes(r["word"]): i for i, r in enumerate(top, 1)}
-    return counts, Vocabulary(ids, np.array([0, *(r["n"] for r in top)], np.int64), row["n"] or 0, row["v"])
+    return counts, Vocabulary(ids, np.array([0, *(r["n"] for r in top)], np.int64), row["n"] or 0, row["v"], MODEL_WORDS)
 
 
 def _ids(vocabulary: Vocabulary, text: str) -> np.ndarray:
