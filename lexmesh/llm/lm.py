@@ -180,18 +180,23 @@ class Lanes:
         self.docs, self.end, self.lanes, self.steps = docs, end, lanes, steps
 
     def windows(self):
-        """(x, y, fresh, live, number of the document of each place, documents ended with their numbers and keys)."""
+        """(x, y, fresh, live, number of the document of each place, documents begun and ended, lanes in use).
+
+        When no document is left to begin, only lanes still in use go on, so that one long text costs one lane.
+        """
         at: list[list] = [[None, 0, -1] for _ in range(self.lanes)]  # ids, place, number
-        number, empty = 0, False
+        number, empty, used = 0, False, np.arange(self.lanes)
         while True:
-            x = np.full((self.lanes, self.steps), self.end, np.int32)
-            y = np.zeros((self.lanes, self.steps), np.int32)
-            fresh = np.zeros((self.lanes, self.steps), np.float32)
-            live = np.zeros((self.lanes, self.steps), bool)
-            doc = np.full((self.lanes, self.steps), -1, np.int64)
+            if empty:
+                used = np.array([k for k in used if at[k][0] is not None], np.int64)
+            if not len(used):
+                return
+            shape = (len(used), self.steps)
+            x, y, doc = np.full(shape, self.end, np.int32), np.zeros(shape, np.int32), np.full(shape, -1, np.int64)
+            fresh, live = np.zeros(shape, np.float32), np.zeros(shape, bool)
             begun, ended = [], []
-            for k, lane in enumerate(at):
-                col = 0
+            for row, k in enumerate(used):
+                lane, col = at[k], 0
                 while col < self.steps:
                     if lane[0] is None:
                         nxt = None if empty else next(self.docs, None)
@@ -203,30 +208,29 @@ class Lanes:
                         number += 1
                     ids, place, own = lane
                     n = min(self.steps - col, len(ids) - place)
-                    y[k, col : col + n] = ids[place : place + n]
+                    y[row, col : col + n] = ids[place : place + n]
                     if place:
-                        x[k, col : col + n] = ids[place - 1 : place + n - 1]
+                        x[row, col : col + n] = ids[place - 1 : place + n - 1]
                     else:
-                        fresh[k, col] = 1
-                        x[k, col + 1 : col + n] = ids[: n - 1]
-                    live[k, col : col + n] = True
-                    doc[k, col : col + n] = own
+                        fresh[row, col] = 1
+                        x[row, col + 1 : col + n] = ids[: n - 1]
+                    live[row, col : col + n] = True
+                    doc[row, col : col + n] = own
                     col += n
                     lane[1] = place + n
                     if lane[1] == len(ids):
                         ended.append(own)
                         lane[0] = None
-            if not live.any():
-                return
-            yield x.T, y.T, fresh.T, live.T, doc.T, begun, ended
+            if live.any():
+                yield x.T, y.T, fresh.T, live.T, doc.T, begun, ended, used
 
 
 def train(model: Model, docs: Iterator[tuple[object, np.ndarray]], end: int) -> int:
     """One pass with Adam over the documents' ids; the number of tokens learnt from."""
     mean, var, step, seen = {k: np.zeros(s, np.float32) for k, s in model.shapes.items()}, {k: np.zeros(s, np.float32) for k, s in model.shapes.items()}, 0, 0
     h = np.zeros((LANES, model.units), np.float32)
-    for x, y, fresh, live, _, _, _ in Lanes(docs, end).windows():
-        logp, _, h, grads = model.window(x, y, fresh, live, h, True)
+    for x, y, fresh, live, _, _, _, used in Lanes(docs, end).windows():
+        logp, _, h[used], grads = model.window(x, y, fresh, live, h[used], True)
         seen += len(logp)
         step += 1
         norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
@@ -243,8 +247,8 @@ def train(model: Model, docs: Iterator[tuple[object, np.ndarray]], end: int) ->
 def score(model: Model, docs: Iterator[tuple[object, np.ndarray]], end: int) -> Iterator[tuple[object, float]]:
     """(key, log10 probability of the ids) of each document, as they end."""
     h, sums, keys = np.zeros((LANES, model.units), np.float32), {}, {}
-    for x, y, fresh, live, doc, begun, ended in Lanes(docs, end).windows():
-        logp, where, h, _ = model.window(x, y, fresh, live, h, False)
+    for x, y, fresh, live, doc, begun, ended, used in Lanes(docs, end).windows():
+        logp, where, h[used], _ = model.window(x, y, fresh, live, h[used], False)
         keys.update(begun)
         own = doc.ravel()[where]
         who, inv = np.unique(own, return_inverse=True)
@@ -292,7 +296,7 @@ def _train(shared, flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
         model = Model(vocabulary.size).load(flat)
-        seen = train(model, ((None, _ids(vocabulary, t)) for b in batches for t in b["_t"].to_pylist()), vocabulary.ids.get(END, 0))
+        seen = train(model, ((None, _ids(vocabulary, t)) for b in batches for t in sorted(b["_t"].to_pylist(), key=len, reverse=True)), vocabulary.ids.get(END, 0))
         if seen:
             yield _weighed(seen, model.flat().astype(np.float64) * seen)
 
@@ -344,7 +348,8 @@ def _score(shared, flat: np.ndarray):
 
         def docs():
             for b in batches:
-                for rid, doc, out, text in zip(*(b[c].to_pylist() for c in ("_rid", "_id", "held_out", "_t")), strict=True):
+                rows = zip(*(b[c].to_pylist() for c in ("_rid", "_id", "held_out", "_t")), strict=True)
+                for rid, doc, out, text in sorted(rows, key=lambda r: len(r[3]), reverse=True):  # long texts begin first
                     own = words(text)
                     ids = np.array([get(w, 0) for w in own] + [get(END, 0)], np.int32)
                     sent = ids > 0
