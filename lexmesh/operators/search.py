@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexmesh.functions.distance import PARTS, parts_distance
 from lexmesh.operators.index import Options, hashed, terms, tokens
+from lexmesh.sources.storage import settle
 
 THRESHOLD = 150
 CANDIDATES = 10_000
@@ -70,5 +71,5 @@ def rank_keys(matches: DataFrame, postings: DataFrame, parts: DataFrame, invalid
 
 def search(queries: DataFrame, postings: DataFrame, hashes: DataFrame, options: Options, threshold: int = THRESHOLD, candidate_cap: int | None = CANDIDATES, top_k: int | None = TOP, invalid: DataFrame | None = None) -> DataFrame:
     """Ranked keys for (query_id, query): see rank_keys. A query of rejected terms alone finds nothing."""
-    parts = query_terms(queries, options)
+    parts = settle(query_terms(queries, options), "parts")  # read three times below; a row per query term
     return rank_keys(match_hashes(parts, hashes, threshold, candidate_cap, top_k), postings, parts, invalid)
