@@ -8,28 +8,31 @@ document's id (with a null flag) and count of ids.
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import cut, fresh_path, text_of
+from lexmesh.llm.common import Remembered, cut, fresh_path, text_of
 
 MAGIC = b"LXIDS001"
 BLOCK = 1 << 16
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-#: Pieces whose ids a worker remembers; it then starts anew, so its memory is bounded.
-REMEMBERED = 400_000
+#: Pieces whose ids a worker remembers in each of two generations.
+REMEMBERED = 300_000
 
 
 def planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -141,42 +144,65 @@ class Encoder:
     """The library's ids of whole texts.
 
     Its pattern drops white space and no step looks across it (normal forms and lower case neither), so a text's ids are
-    those of its pieces between space, tab and line ends in order; each new piece goes to the library once.
+    those of its pieces between blanks in order; each new piece goes to the library once. Plain pieces
+    go there many at a time, joined by spaces: each part that the pattern makes of a piece ends in one end-of-word symbol,
+    so counting parts tells the pieces' ids apart.
     """
 
     def __init__(self, path: str):
-        import re
-
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.pieces = re.compile(r"[^ \t\n\r]+").findall
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            parts = self.pieces(text)
-            known = self.known
-            if new := [p for p in set(parts) if p not in known]:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                    new = list(set(parts))
-                for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                    known[p] = e.ids
-            flat: list[int] = []
-            for p in parts:
-                flat += known[p]
-            flat.append(END_ID)
-            yield np.array(flat, "<u4")
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known = Remembered(self._make, REMEMBERED)
+        self.odd = regex.compile(r"[\x1c-\x1f]").search  # blank to Python, symbols to the library
+        self.between = regex.compile(r"[^ \t\n\r]+").findall
+        self.plain = regex.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+").fullmatch
+        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+
+    def pieces(self, text: str) -> list[str]:
+        return self.between(text) if self.odd(text) else text.split()
+
+    def _make(self, pieces: list[str]) -> list[bytes]:
+        word = lambda p: p.isascii() and p.isalpha()
+        out, plain = {}, [p for p in pieces if word(p) or self.plain(p)]
+        if plain:
+            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
+            counts = np.cumsum([1 if word(p) else len(self.parts(p.lower())) for p in plain])
+            places = np.flatnonzero(self.ends[ids]) + 1
+            if len(places) == counts[-1]:
+                raw, stops = ids.tobytes(), (4 * places[counts - 1]).tolist()
+                out = {p: raw[i:j] for p, i, j in zip(plain, [0, *stops], stops, strict=False)}
+        rest = [p for p in pieces if p not in out]
+        for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            out[p] = np.array(e.ids, "<u4").tobytes()
+        return [out[p] for p in pieces]
+
+    def encode(self, texts: list[str], group: int = 64) -> Iterator[np.ndarray]:
+        for at in range(0, len(texts), group):
+            split = [self.pieces(t) for t in texts[at : at + group]]
+            self.known.need(set().union(*split))
+            for parts in split:
+                yield np.append(np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4"), np.uint32(END_ID))
+
+
+@lru_cache(maxsize=2)
+def encoder_of(tokenizer: str) -> Encoder:
+    """One encoder a worker process, kept between tasks."""
+    import public_tokenizers
+
+    return Encoder(public_tokenizers.path(tokenizer))
 
 
 def _write(folder: str, tokenizer: str, bits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
-
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         name = f"{base}/{uuid.uuid4().hex}.ids"  # of this attempt alone; the manifest names those that count
-        encoder, n_docs, n_ids = Encoder(public_tokenizers.path(tokenizer)), 0, 0
+        encoder, n_docs, n_ids = encoder_of(tokenizer), 0, 0
         with fs.open_output_stream(name + ".part") as out:
             writer = Writer(out, bits)
             for batch in batches:
@@ -227,7 +253,8 @@ def _read(folder: str):
 
 def read_tokens(folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files."""
-    return manifest.select("shard", "name", "base").repartition("shard").mapInPandas(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    files = max(1, manifest.count())  # a task a file; left to itself Spark would put these few rows together
+    return manifest.select("shard", "name", "base").repartition(files, "shard").mapInPandas(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
