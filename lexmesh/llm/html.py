@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import cut, text_of
+from lexmesh.llm.common import SMALL_ROWS, cut, text_of
 
 #: A subtree is a site's template if it stands in so many different surroundings on the host, and in so large a share of its pages.
 MIN_CONTEXTS = 8
@@ -237,7 +237,11 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), text_of(html).alias("_t"))
     parsed = cut(rows.mapInArrow(_parse, SCHEMA), "pages")
-    out = parsed.join(templates(parsed), F.col("_host") == F.col("_on"), "left")
+    found = cut(templates(parsed), "templates")
+    hashes = found.agg(F.sum(F.size("_drop") + 1)).first()[0] or 0
+    if hashes <= SMALL_ROWS:
+        found = F.broadcast(found)  # else pages meet their hosts' templates by shuffle
+    out = parsed.join(found, F.col("_host") == F.col("_on"), "left")
     kept = F.when(F.col("_drop").isNull(), F.col("_blocks")).otherwise(F.filter("_blocks", lambda b: ~F.arrays_overlap(b["h"], "_drop")))
     out = out.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["s"]), "\n\n").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
