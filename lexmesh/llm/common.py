@@ -93,11 +93,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE + "+", -1), "")
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case; every other character as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
