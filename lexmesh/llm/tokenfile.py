@@ -32,7 +32,7 @@ BLOCK = 1 << 16
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces whose ids a worker remembers in each of two generations.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 def planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -181,7 +181,7 @@ class Encoder:
             out[p] = np.array(e.ids, "<u4").tobytes()
         return [out[p] for p in pieces]
 
-    def encode(self, texts: list[str], group: int = 64) -> Iterator[np.ndarray]:
+    def encode(self, texts: list[str], group: int = 512) -> Iterator[np.ndarray]:
         for at in range(0, len(texts), group):
             split = [self.pieces(t) for t in texts[at : at + group]]
             self.known.need(set().union(*split))
