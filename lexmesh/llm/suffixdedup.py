@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import cut, text_of
+from lexmesh.llm.common import cut, discard, text_of
 
 #: Length of a match in bytes, and of the grams whose least hash names a window.
 LENGTH = 50
@@ -284,7 +284,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = shared.groupBy("_rid").agg(F.collect_list("name").alias("_wanted")).withColumnRenamed("_rid", "_w")
     picked = rows.join(wanted, F.col("_rid") == F.col("_w")).select("_rid", "_doc", "_t", "_wanted")
     found = cut(picked.mapInArrow(_passages(length), "_rid long, _doc long, name long, at long, passage binary").withColumn("code", F.xxhash64("passage")), "passages")
+    digests = cut(named.drop("_names"), "digests")
+    discard(named)  # window names are not read again
     unique = cut(found.groupBy("name", "code").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"), F.first("passage").alias("passage")), "unique")
+    spots = cut(found.select("_rid", "_doc", "name", "code", "at"), "spots")
+    discard(found)  # nor are the passages of each document, now that the different ones are kept
     total = unique.agg(F.sum(F.length("passage") + 1)).first()[0] or 0
     buckets = max(1, -(-total // INDEX_BYTES)) * 2
     sizes = unique.groupBy("name").count().withColumnRenamed("name", "_n")
@@ -297,10 +301,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     least = windows.groupBy("name", "_win").agg(F.min("first").alias("_least")).withColumnsRenamed({"name": "_ln", "_win": "_lw"})
     grouped = windows.join(least, (F.col("name") == F.col("_ln")) & (F.col("_win") == F.col("_lw"))).select("name", "code", "off", F.lit(1).alias("n"), F.col("_least").alias("first"))
     verdicts = cut(indexed.unionByName(grouped), "verdicts").withColumnsRenamed({"name": "_vn", "code": "_vc"})
-    spans = found.select("_rid", "_doc", "name", "code", "at").join(verdicts, (F.col("name") == F.col("_vn")) & (F.col("code") == F.col("_vc"))).filter(F.col("first") < F.col("_doc"))
+    spans = spots.join(verdicts, (F.col("name") == F.col("_vn")) & (F.col("code") == F.col("_vc"))).filter(F.col("first") < F.col("_doc"))
     spans = spans.groupBy("_rid").agg(F.collect_list(F.struct((F.col("at") + F.col("off")).alias("at"), F.col("n").cast("long").alias("n"))).alias("_spans")).withColumnRenamed("_rid", "_s")
     changed = rows.join(spans, F.col("_rid") == F.col("_s")).select("_rid", "_t", "_spans").mapInArrow(_removed(length, texts), "_rid long, n_removed long, n_spans long, cut_sha256 string, kept binary").withColumnRenamed("_rid", "_c")
-    out = named.drop("_names").join(changed, F.col("_rid") == F.col("_c"), "left")
+    out = digests.join(changed, F.col("_rid") == F.col("_c"), "left")
     zero = F.lit(0).cast("long")
     columns = [F.when(F.col("_doc") != last, F.col("_doc")).alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256")]
     if texts:
