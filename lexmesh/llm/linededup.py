@@ -10,11 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmesh.llm import minhash
 from lexmesh.llm.common import cut, text_of
-from lexmesh.llm.graph import components
+from lexmesh.llm.minhash import similar_components, similar_pairs
 
 SHINGLE = 5
 SIMILARITY_PERCENT = 80
@@ -27,22 +28,8 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """Scatter 64-bit numbers."""
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
 def band_keys(lines: list[str]) -> np.ndarray:
-    """BANDS keys of each line, by one hash a shingle.
-
-    Hashes lie on a ring of 2^40 points, and the signature's value i is the first one at or after mark i of evenly spaced
-    marks (with wrap-around), the least under a rotation of the ring. All lines' hashes are sorted together once, by line
-    and place. A band takes marks a fifth of the ring apart, so short lines too give bands of different shingles.
-    """
-    n, marks = len(lines), BANDS * ROWS
+    """BANDS keys of each line, by one hash a shingle and independent permutations of it for the signature's values."""
     sizes = np.array([len(x) for x in lines], np.int64)
     pad = SHINGLE - 1  # so that each line has at least one window and none reaches into the next one
     codes = np.frombuffer(("\0" * pad).join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -52,28 +39,18 @@ def band_keys(lines: list[str]) -> np.ndarray:
         for k in range(1, SHINGLE):
             rolled = rolled * np.uint64(0x100000001B3) + codes[k : len(codes) - pad + k]
     counts = np.maximum(1, sizes - pad)
-    own = np.repeat(np.arange(n, dtype=np.uint64), counts)
     first = np.cumsum(counts) - counts
     at = np.arange(counts.sum()) - np.repeat(first - starts, counts)
-    ring = np.sort(own << np.uint64(40) | mix(rolled[at]) >> np.uint64(24))
-    wanted = (np.arange(n, dtype=np.uint64)[:, None] << np.uint64(40)) + (np.arange(marks, dtype=np.uint64) * np.uint64((1 << 40) // marks))[None, :]
-    spot = np.searchsorted(ring, wanted.ravel()).reshape(n, marks)
-    spot = np.where(spot >= (first + counts)[:, None], first[:, None], spot)
-    values = mix(ring[spot] & np.uint64((1 << 40) - 1))
-    out = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None, :], n, axis=0)
-    with np.errstate(over="ignore"):
-        for r in range(ROWS):
-            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + values[:, r * BANDS : (r + 1) * BANDS])
-    return out.view(np.int64)
+    return minhash.band_keys(rolled[at], first, BANDS, ROWS)
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, lines = batch["_key"].to_numpy(), batch["_line"].to_pylist()
         at = 0
-        while at < len(lines):  # a part of at most about a million characters, or one longer line
+        while at < len(lines):  # a part of at most about 100,000 characters, or one longer line
             end, size = at, 0
-            while end < len(lines) and (end == at or size + len(lines[end]) < 1_000_000) and end - at < 8192:
+            while end < len(lines) and (end == at or size + len(lines[end]) < 100_000) and end - at < 8192:
                 size += len(lines[end])
                 end += 1
             bands = band_keys(lines[at:end])
@@ -81,26 +58,6 @@ def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = end
 
 
-def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose shingle sets have a Jaccard similarity of 0.8 or more."""
-    for batch in batches:
-        keep, last, one = [], None, set()
-        for x, y in zip(batch["_la"].to_pylist(), batch["_lb"].to_pylist(), strict=True):
-            if x != last:
-                last, one = x, shingles(x)
-            two = shingles(y)
-            both = len(one & two)
-            keep.append(100 * both >= SIMILARITY_PERCENT * (len(one) + len(two) - both))
-        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of line keys that are similar."""
-    a, b = (texts.select(F.col("_key").alias(f"_k{x}"), F.col("_line").alias(f"_l{x}")) for x in "ab")
-    met = pairs.join(a, F.col("a") == F.col("_ka")).join(b, F.col("b") == F.col("_kb"))
-    return met.select("a", "b", "_la", "_lb").mapInArrow(_similar, "a long, b long")
-
-
 def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """(_rid, _doc, _t) of docs, written, so that row numbers hold wherever it is read."""
     return cut(docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(doc_id).cast("long").alias("_doc"), text_of(text).alias("_t")), "rows")
@@ -110,24 +67,13 @@ def line_classes(rows: DataFrame) -> DataFrame:
     """(_rid, _doc, _no, component, kept) of every line with a word: equal and similar lines form one component, chains included.
 
     The first line of a component in the order of (doc_id, line number) is kept. Lines are equal if their 64-bit hashes
-    are. Within a bucket all lines are compared with the bucket's first; only those not similar to it are compared with
-    the rest of the bucket, so a large group of copies costs one comparison a line and no link is lost.
+    are. Candidates share a band and are compared exactly (see similar_components).
     """
     lines = rows.select("_rid", "_doc", F.posexplode(F.split("_t", "\n", -1)).alias("_no", "_line"))
     lines = lines.filter(F.col("_line").rlike("[^ \\t-\\r]")).withColumn("_key", F.xxhash64("_line"))
     places = cut(lines.select("_rid", "_doc", "_no", "_key"), "lines")
-    by_band = Window.partitionBy("_band")
     keyed = lines.select("_key", "_line").mapInArrow(_banded, "_key long, _band long")
-    met = keyed.select("*", F.min("_key").over(by_band).alias("low"), F.max("_key").over(by_band).alias("_high"))
-    met = cut(met.filter("low != _high").drop("_high").distinct(), "buckets")
-    first = met.filter("_key != low").select(F.col("low").alias("a"), F.col("_key").alias("b")).distinct()
-    wanted = cut(met.select(F.col("_key").alias("_w")).distinct(), "wanted")
-    texts = cut(lines.join(wanted, F.col("_key") == F.col("_w"), "left_semi").select("_key", "_line").dropDuplicates(["_key"]), "texts")
-    near = cut(_verified(first, texts), "near")
-    left = met.filter("_key != low").join(near, (F.col("low") == F.col("a")) & (F.col("_key") == F.col("b")), "left_anti")
-    left = left.select(F.col("_band").alias("_lb"), F.col("_key").alias("u"), F.col("low").alias("l"))
-    rest = left.join(met, F.col("_lb") == F.col("_band")).filter("_key != u AND _key != l").select(F.least("u", "_key").alias("a"), F.greatest("u", "_key").alias("b")).distinct()
-    roots = components(near.unionByName(_verified(rest, texts)))
+    roots = similar_components(keyed, lines.select("_key", "_line"), similar_pairs(shingles, SIMILARITY_PERCENT))
     classed = places.join(roots, F.col("_key") == F.col("node"), "left").withColumn("component", F.coalesce("root", "_key")).drop("node", "root", "_key")
     heads = classed.groupBy("component").agg(F.min(F.struct(F.coalesce("_doc", F.lit(2**63 - 1)), "_no", "_rid")).alias("_head")).withColumnRenamed("component", "_c")
     out = classed.join(heads, F.col("component") == F.col("_c"))
