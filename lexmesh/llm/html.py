@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from lexmesh.llm.common import SMALL_ROWS, cut, text_of
 
-#: A subtree is a site's template if it stands in so many different surroundings on the host, and in so large a share of its pages.
-MIN_CONTEXTS = 8
+#: A subtree is a site's template if so many pages of the host, of different text, hold it, and so large a share of its pages.
+MIN_PAGES = 8
 MIN_SHARE = 0.25
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -196,36 +196,32 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-SCHEMA = "page_id long, url string, _host string, _blocks array<struct<s:string,h:array<long>>>, _subs array<struct<h:long,c:long>>"
+SCHEMA = "page_id long, url string, _host string, _blocks array<struct<s:string,h:array<long>>>, _page long, _subs array<long>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("_host", pa.string()), ("_blocks", pa.list_(pa.struct([("s", pa.string()), ("h", pa.list_(pa.int64()))]))), ("_subs", pa.list_(pa.struct([("h", pa.int64()), ("c", pa.int64())])))])
+    kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("_host", pa.string()), ("_blocks", pa.list_(pa.struct([("s", pa.string()), ("h", pa.list_(pa.int64()))]))), ("_page", pa.int64()), ("_subs", pa.list_(pa.int64()))])
     for batch in batches:
         rows = []
         for page, url, text in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "_t")), strict=True):
             found, order = blocks(text)
             with_text = {h for _, hs in found for h in hs}
-            seen = {}
-            for i, h in enumerate(order):
-                if h in with_text and h not in seen:
-                    around = (order[i - 1] if i else 0, order[i + 1] if i + 1 < len(order) else 0)
-                    seen[h] = xxhash.xxh64_intdigest(str(around)) - (1 << 63)
-            rows.append({"page_id": page, "url": url, "_host": host_of(url), "_blocks": [{"s": s, "h": hs} for s, hs in found], "_subs": [{"h": h, "c": c} for h, c in seen.items()]})
+            page_hash = xxhash.xxh64_intdigest("\n".join(s for s, _ in found).encode("utf-8", "replace")) - (1 << 63)
+            rows.append({"page_id": page, "url": url, "_host": host_of(url), "_blocks": [{"s": s, "h": hs} for s, hs in found], "_page": page_hash, "_subs": list(with_text.intersection(order))})
         yield pa.RecordBatch.from_pylist(rows, kinds)
 
 
-def templates(parsed: DataFrame, min_contexts: int = MIN_CONTEXTS, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(_on, _drop): for each host the hashes of its template subtrees.
 
-    A subtree counts by its different surroundings (what stands before and after it), so copies of one article don't
-    make its paragraphs a template. A host has at most 1/min_share times the subtrees of a page as templates.
+    A subtree counts by the pages of different text that hold it, wherever it stands, so copies of one article don't make
+    its paragraphs a template. A host has at most 1/min_share times the subtrees of a page as templates.
     """
     pages = parsed.groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
-    seen = parsed.select("_host", F.explode("_subs").alias("x")).select("_host", "x.h", "x.c").groupBy("_host", "h", "c").count()
-    subs = seen.groupBy("_host", "h").agg(F.count(F.lit(1)).alias("contexts"), F.sum("count").alias("on"))
-    subs = subs.filter(F.col("contexts") >= min_contexts).withColumnRenamed("_host", "_on")
-    many = subs.join(pages, F.col("_on") == F.col("_host")).filter(F.least("on", "contexts") >= min_share * F.col("pages"))
+    seen = parsed.select("_host", "_page", F.explode("_subs").alias("h")).distinct()
+    subs = seen.groupBy("_host", "h").agg(F.count(F.lit(1)).alias("on"))
+    subs = subs.filter(F.col("on") >= min_pages).withColumnRenamed("_host", "_on")
+    many = subs.join(pages, F.col("_on") == F.col("_host")).filter(F.col("on") >= min_share * F.col("pages"))
     return many.groupBy("_on").agg(F.collect_list("h").alias("_drop"))
 
 
