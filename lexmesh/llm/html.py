@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from lexmesh.llm.common import SMALL_ROWS, cut, text_of
 
-#: A subtree is a site's template if so many pages of the host, of different text, hold it, and so large a share of its pages.
+#: A subtree is a site's template if so many pages of the host, of different text, hold it.
 MIN_PAGES = 8
-MIN_SHARE = 0.25
+#: Templates of a host that its pages are compared with as one list; beyond that each page is joined to its own.
+HOST_TEMPLATES = 5000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -211,18 +212,15 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(rows, kinds)
 
 
-def templates(parsed: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(_on, _drop): for each host the hashes of its template subtrees.
+def templates(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(_on, _h): for each host the hashes of its template subtrees, a row each.
 
     A subtree counts by the pages of different text that hold it, wherever it stands, so copies of one article don't make
-    its paragraphs a template. A host has at most 1/min_share times the subtrees of a page as templates.
+    its paragraphs a template. Neither copies nor the size of the host matter.
     """
-    pages = parsed.groupBy("_host").agg(F.count(F.lit(1)).alias("pages"))
     seen = parsed.select("_host", "_page", F.explode("_subs").alias("h")).distinct()
-    subs = seen.groupBy("_host", "h").agg(F.count(F.lit(1)).alias("on"))
-    subs = subs.filter(F.col("on") >= min_pages).withColumnRenamed("_host", "_on")
-    many = subs.join(pages, F.col("_on") == F.col("_host")).filter(F.col("on") >= min_share * F.col("pages"))
-    return many.groupBy("_on").agg(F.collect_list("h").alias("_drop"))
+    subs = seen.groupBy("_host", "h").agg(F.count(F.lit(1)).alias("on")).filter(F.col("on") >= min_pages)
+    return subs.select(F.col("_host").alias("_on"), F.col("h").alias("_h"))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -232,12 +230,15 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     no host form one host. Repeated rows each give a row, an empty table none. Other columns are not read.
     """
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), text_of(html).alias("_t"))
-    parsed = cut(rows.mapInArrow(_parse, SCHEMA), "pages")
+    parsed = cut(rows.mapInArrow(_parse, SCHEMA).withColumn("_rid", F.monotonically_increasing_id()), "pages")
     found = cut(templates(parsed), "templates")
-    hashes = found.agg(F.sum(F.size("_drop") + 1)).first()[0] or 0
-    if hashes <= SMALL_ROWS:
-        found = F.broadcast(found)  # else pages meet their hosts' templates by shuffle
-    out = parsed.join(found, F.col("_host") == F.col("_on"), "left")
+    by_host = found.groupBy("_on").agg(F.collect_list("_h").alias("_drop"))
+    size = found.groupBy("_on").count().agg(F.sum("count"), F.max("count")).first()
+    if (size[0] or 0) <= SMALL_ROWS and (size[1] or 0) <= HOST_TEMPLATES:
+        out = parsed.join(F.broadcast(by_host), F.col("_host") == F.col("_on"), "left")
+    else:  # each page meets just those templates that it holds
+        held = parsed.select("_rid", "_host", F.explode("_subs").alias("h")).join(found, (F.col("_host") == F.col("_on")) & (F.col("h") == F.col("_h")))
+        out = parsed.join(held.groupBy(F.col("_rid").alias("_r")).agg(F.collect_list("h").alias("_drop")), F.col("_rid") == F.col("_r"), "left")
     kept = F.when(F.col("_drop").isNull(), F.col("_blocks")).otherwise(F.filter("_blocks", lambda b: ~F.arrays_overlap(b["h"], "_drop")))
     out = out.select("page_id", "url", F.array_join(F.transform(kept, lambda b: b["s"]), "\n\n").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from lexmesh.llm import html
 
 
@@ -18,3 +20,16 @@ def test_template_of_blocks_at_the_end(spark):
     tail = "<div><p>Follow us</p><p>About this site</p></div><div><p>More here</p><p>Even more</p></div>"
     got = texts(spark, pages(40, "a.example", tail, random.Random(1)))
     assert all(t.startswith(f"T{i}\n\nw") and t.count("\n\n") == 3 for i, t in got.items()), got[0]
+
+
+@pytest.mark.parametrize("listed", [5000, 0])
+def test_copies_and_other_sections_do_not_hide_templates(spark, monkeypatch, listed):
+    monkeypatch.setattr(html, "HOST_TEMPLATES", listed)
+    rng, tail = random.Random(2), "<div><p>Read this too</p></div>"
+    copied = "<article><h1>Copy</h1><p>Same text</p></article>"
+    rows = pages(20, "a.example", tail, rng) + [(1000 + i, f"http://a.example/c{i}", copied) for i in range(200)]
+    rows += pages(12, "b.example", "<div><p>Section news</p></div>", rng, 2000) + pages(120, "b.example", "", rng, 3000)
+    got = texts(spark, rows)
+    assert not any("Read this" in t or "Section news" in t for t in got.values())
+    assert all(got[1000 + i] == "Copy\n\nSame text" for i in range(200))
+    assert len(got) == len(rows) and all(t.startswith(f"T{i}\n\nw") for i, t in got.items() if i < 1000 or i >= 2000)
