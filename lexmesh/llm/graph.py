@@ -21,7 +21,7 @@ def _starred(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of links (a, b: long): root is the smallest node that can be reached.
+    """(node, root) for every node of links (a, b of one type that has an order): root is the smallest node that can be reached.
 
     Alternates large-star and small-star rounds until no link changes; each round is two shuffled aggregations and joins
     on single keys, its links are written to the shared folder, and neither links nor roots pass through the driver.

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import cut
-from lexmesh.llm.graph import components
+from lexmesh.llm.common import broadcast_if_small, cut
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -24,8 +23,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: An odd multiplier for each value of a signature.
 SEEDS = (mix(np.arange(1, 513, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
-#: Shingles that a task of the comparison holds in sets.
+#: Characters of text that a block of a bucket's members has on average; a task compares two blocks at a time.
+BLOCK_CHARS = 1 << 20
+#: Shingles of texts seen lately that a task of the comparison holds.
 HELD = 500_000
+#: 8-byte keys that a broadcast may hold (about 30 MB as a hash table); more are joined by shuffle.
+MAX_KEYS = 1_000_000
 
 
 def band_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -42,59 +45,178 @@ def band_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> n
     return out.T.view(np.int64)
 
 
-def similar_pairs(shingles: Callable[[str], set], percent: int):
-    """An Arrow function that keeps the pairs (a, b) whose texts (_la, _lb) have shingle sets of so large a Jaccard similarity."""
+def windows(lines: list[str], width: int, exact: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each window of width characters, where each line's begin); a shorter line is its own window.
+
+    With exact=True different windows of these lines have different numbers: the characters stand side by side in one
+    number, if need be by their rank among the lines' characters. Else the number is a hash, the same in every call.
+    """
+    sizes, pad = np.array([len(x) for x in lines], np.int64), width - 1
+    codes = np.frombuffer(("\0" * pad).join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    starts = np.cumsum(sizes + pad) - sizes - pad
+    bits = 64 // width
+    if exact:
+        codes = codes + np.uint64(1)
+        short = np.concatenate([np.arange(s + n, s + width) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True) if n < width] or [np.empty(0, np.int64)])
+        codes[short] = 0  # no character, unlike a NUL in the text
+        if codes.max(initial=0) >> np.uint64(bits):
+            kinds, codes = np.unique(codes, return_inverse=True)
+            codes = codes.astype(np.uint64) + np.uint64(kinds[0] > 0)
+            bits = max(bits, len(kinds).bit_length())
+    with np.errstate(over="ignore"):
+        step = np.uint64(1 << bits if exact else 0x100000001B3)
+        out = codes[: len(codes) - pad].copy()
+        for k in range(1, width):
+            if exact and bits * width > 64:  # very many different characters: pairs are ranked anew at each step
+                out = np.unique(np.stack([out, codes[k : len(codes) - pad + k]]), axis=1, return_inverse=True)[1].astype(np.uint64).ravel()
+            else:
+                out = out * step + codes[k : len(codes) - pad + k]
+    counts = np.maximum(1, sizes - pad)
+    first = np.cumsum(counts) - counts
+    return out[np.arange(counts.sum()) - np.repeat(first - starts, counts)], first
+
+
+class Characters:
+    """The sets of a line: its windows of width characters."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def numbers(self, lines: list[str], exact: bool) -> tuple[np.ndarray, np.ndarray]:
+        return windows(lines, self.width, exact)
+
+    def lasting(self, lines: list[str]) -> bool:
+        """Whether the exact numbers of these lines are those that other calls give."""
+        return all(x.isascii() for x in lines)
+
+
+def signatures(kind, bands: int, rows: int):
+    """An Arrow function from (_key, _line) to (_key, _bands, _chars); a line that a task has seen lately gives no second row."""
+    schema = pa.schema([("_key", pa.binary()), ("_bands", pa.list_(pa.int64())), ("_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0  # sets of texts seen lately, by key: members of a crowded bucket come again and again
+        seen: set[bytes] = set()
         for batch in batches:
-            keep = []
-            for i, pair in enumerate(zip(batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True)):
-                sets = []
-                for k, texts in zip(pair, ("_la", "_lb"), strict=True):
-                    found = held.get(k)
-                    if found is None:
-                        found = shingles(batch[texts][i].as_py())
-                        if size + len(found) > HELD:
-                            held, size = {}, 0
-                        held[k] = found
-                        size += len(found)
-                    sets.append(found)
-                one, two = sets
-                if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
-                    keep.append(False)
-                    continue
-                both = len(one & two)
-                keep.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            fresh = {}
+            for key, line in zip(batch["_key"].to_pylist(), batch["_line"].to_pylist(), strict=True):
+                if key not in seen:
+                    fresh[key] = line
+            seen = (set() if len(seen) > 200_000 else seen).union(fresh)
+            keys, lines, at = list(fresh), list(fresh.values()), 0
+            while at < len(lines):  # a part of at most about 100,000 characters, or one longer line
+                end, size = at, 0
+                while end < len(lines) and (end == at or size + len(lines[end]) < 100_000) and end - at < 8192:
+                    size += len(lines[end])
+                    end += 1
+                found = band_keys(*kind.numbers(lines[at:end], False), bands, rows)
+                ends = pa.array(np.arange(0, (end - at + 1) * bands, bands, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at:end], pa.binary()), pa.ListArray.from_arrays(ends, pa.array(found.ravel())), pa.array([len(x) for x in lines[at:end]], pa.int64())], schema=schema)
+                at = end
 
     return run
 
 
-def similar_components(banded: DataFrame, texts: DataFrame, similar) -> DataFrame:
-    """(node, root) of the keys that chains of similar pairs connect, among pairs that share a bucket of banded (_key, _band).
+def connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set (distinct numbers) the first set of its component under a Jaccard similarity of percent or more.
+
+    A set is compared with all others at once, through the lists of sets that hold each number. Sets of the largest
+    component need no turn of their own: whatever they could still be linked to has one.
+    """
+    n = len(sets)
+    root, sizes = np.arange(n), np.array([len(s) for s in sets], np.int64)
+    flat = np.concatenate(sets)
+    _, ids = np.unique(flat, return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    listed = owner[np.argsort(ids, kind="stable")]
+    each = np.bincount(ids)
+    begin = np.cumsum(each) - each
+    first = np.cumsum(sizes) - sizes
+    waiting = np.ones(n, bool)
+    while True:
+        largest = np.bincount(root).argmax()
+        turn = np.flatnonzero(waiting & (root != largest)) if not waiting.all() else np.arange(1)
+        if not len(turn):
+            return root
+        u = turn[0]
+        waiting[u] = False
+        own = ids[first[u] : first[u] + sizes[u]]
+        k = each[own]
+        both = np.bincount(listed[np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begin[own], k)], minlength=n)
+        met = np.unique(root[100 * both >= percent * (sizes[u] + sizes - both)])
+        if len(met) > 1:
+            root[np.isin(root, met)] = met[0]
+
+
+def _linked(kind, percent: int):
+    """An Arrow function from the members (_band, i, j, _key, _line) of groups that stand together to the links (a, b)."""
+
+    def links(keys: list[bytes], lines: list[str], held: dict) -> tuple[list[bytes], list[bytes]]:
+        new = [k for k, key in enumerate(keys) if key not in held]
+        lasting = kind.lasting(lines)
+        if not lasting:
+            new, held = list(range(len(keys))), {}
+        if new:
+            if lasting and sum(map(len, held.values())) > HELD:
+                held.clear()
+                new = list(range(len(keys)))
+            numbers, first = kind.numbers([lines[k] for k in new], True)
+            for k, part in zip(new, np.split(numbers, first[1:]), strict=True):
+                held[keys[k]] = np.unique(part)
+        sets = [held[k] for k in keys]
+        if len(sets) == 2:
+            both = len(np.intersect1d(*sets, assume_unique=True))
+            return ([keys[0]], [keys[1]]) if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both) else ([], [])
+        root = connected(sets, percent)
+        who = np.flatnonzero(root != np.arange(len(root))).tolist()
+        return [keys[k] for k in who], [keys[root[k]] for k in who]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, keys, lines, now = {}, [], [], None
+        a, b = [], []
+        for batch in batches:
+            for group, key, line in zip(zip(*(batch[c].to_pylist() for c in ("_band", "i", "j")), strict=True), batch["_key"].to_pylist(), batch["_line"].to_pylist(), strict=True):
+                if group != now:
+                    if len(keys) > 1:
+                        more = links(keys, lines, held)
+                        a += more[0]
+                        b += more[1]
+                    keys, lines, now = [], [], group
+                keys.append(key)
+                lines.append(line)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            a, b = [], []
+        if len(keys) > 1:
+            a, b = links(keys, lines, held)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    return run
+
+
+def similar_links(lines: DataFrame, kind, bands: int, rows: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect just those keys of lines (_key: 16 bytes, equal for equal lines alone; _line) that chains of similar pairs connect.
+
+    kind makes the sets that are compared (see Characters).
 
-    texts has (_key, _line), each key any number of times. All keys of a bucket are compared with its least one. After
-    that only keys of other components than the least one's are compared with the rest of the bucket, where components
-    differ, so a large group of copies costs a few comparisons a key and no link is lost.
+    1. Buckets of one key alone are dropped by their least and largest key (partial sums first, so that a crowded bucket
+    costs no task more). 2. Buckets of the same members count once. 3. The members of a bucket are dealt to blocks by
+    their length; each pair of blocks is a group of its own, in which every pair is compared by its exact shingles, and
+    only a link to the first of each local component goes out. No link is lost, none is listed twice for a pair of texts.
     """
-    banded = cut(banded.distinct(), "banded")
-    least = banded.groupBy("_band").agg(F.min("_key").alias("low"), F.max("_key").alias("_high")).filter("low != _high").select(F.col("_band").alias("_b"), "low")
-    met = cut(banded.join(least, F.col("_band") == F.col("_b")).drop("_b"), "buckets")
-    wanted = cut(met.select(F.col("_key").alias("_w")).distinct(), "wanted")
-    texts = cut(texts.join(wanted, F.col("_key") == F.col("_w"), "left_semi").select("_key", "_line").dropDuplicates(["_key"]), "texts")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("_key").alias(f"_k{x}"), F.col("_line").alias(f"_l{x}")) for x in "ab")
-        both = pairs.join(a, F.col("a") == F.col("_ka")).join(b, F.col("b") == F.col("_kb"))
-        return both.select("a", "b", "_la", "_lb").mapInArrow(similar, "a long, b long")
-
-    near = cut(verified(met.filter("_key != low").select(F.col("low").alias("a"), F.col("_key").alias("b")).distinct()), "near")
-    roots = components(near)
-    own, lows = (roots.select(F.col("node").alias(f"_n{x}"), F.col("root").alias(f"_r{x}")) for x in "kl")
-    rooted = met.join(own, F.col("_key") == F.col("_nk"), "left").join(lows, F.col("low") == F.col("_nl"), "left")
-    rooted = cut(rooted.select("_key", "_band", "low", F.coalesce("_rk", "_key").alias("_root"), F.coalesce("_rl", "low").alias("_lowest")), "rooted")
-    left = rooted.filter("_root != _lowest").select(F.col("_band").alias("_lb"), F.col("_key").alias("u"), F.col("_root").alias("_ru"))
-    rest = left.join(rooted.filter("_key != low"), F.col("_lb") == F.col("_band")).filter("_root != _ru")
-    more = cut(verified(rest.select(F.least("u", "_key").alias("a"), F.greatest("u", "_key").alias("b")).distinct()), "near")
-    return components(near.unionByName(more))
+    signed = cut(lines.mapInArrow(signatures(kind, bands, rows), "_key binary, _bands array<long>, _chars long"), "signed")
+    banded = signed.select("_key", "_chars", F.explode("_bands").alias("_band"))
+    low = F.xxhash64("_key").alias("_k")
+    shared = cut(banded.select("_band", low).groupBy("_band").agg(F.min("_k").alias("_low"), F.max("_k").alias("_high")).filter("_low != _high").select(F.col("_band").alias("_b")), "shared")
+    members = cut(banded.join(broadcast_if_small(shared, MAX_KEYS), F.col("_band") == F.col("_b"), "left_semi").distinct(), "members")
+    one, two = F.xxhash64("_key"), F.xxhash64(F.lit(1), "_key")
+    buckets = members.groupBy("_band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y"), F.sum("_chars").alias("chars"))
+    buckets = cut(buckets.filter("n > 1").groupBy("n", "x", "y").agg(F.min("_band").alias("_b"), F.first("chars").alias("chars")).select("_b", F.ceil(F.col("chars") / BLOCK_CHARS).cast("int").alias("_blocks")), "buckets")
+    met = members.join(broadcast_if_small(buckets, MAX_KEYS), F.col("_band") == F.col("_b")).select("_band", "_key", F.greatest("_blocks", F.lit(1)).alias("_blocks"))
+    wanted = cut(members.select(F.col("_key").alias("_w")).distinct(), "wanted")
+    texts = lines.join(broadcast_if_small(wanted, MAX_KEYS // 3), F.col("_key") == F.col("_w"), "left_semi").select(F.col("_key").alias("_t"), "_line")
+    texts = cut(texts.dropDuplicates(["_t"]), "texts")
+    own = F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int")
+    dealt = met.select("_band", "_key", own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
+    dealt = dealt.select("_band", "_key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
+    full = dealt.join(texts, F.col("_key") == F.col("_t")).select("_band", "i", "j", "_key", "_line")
+    full = full.repartition("_band", "i", "j").sortWithinPartitions("_band", "i", "j")
+    return full.mapInArrow(_linked(kind, percent), "a binary, b binary")

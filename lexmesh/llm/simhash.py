@@ -23,17 +23,17 @@ BITS = 64
 BLOCK = 1024
 
 
-def fingerprint(text: str) -> int:
-    """The 64-bit SimHash of the text's 3-word shingles, repeats counted; 0 without words."""
+def fingerprint(text: str, width: int = SHINGLE) -> int:
+    """The 64-bit SimHash of the text's shingles of width words, repeats counted; 0 without words."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
         return 0
-    if len(words) < SHINGLE:
+    if len(words) < width:
         return xxhash.xxh64_intdigest(b" ".join(words), 42)
-    ones, step, total = np.zeros(BITS, np.int64), 1 << 16, len(words) - SHINGLE + 1
+    ones, step, total = np.zeros(BITS, np.int64), 1 << 16, len(words) - width + 1
     for at in range(0, total, step):
-        part = words[at : at + step + SHINGLE - 1]
-        hashed = np.array([xxhash.xxh64_intdigest(b" ".join(s), 42) for s in zip(part, part[1:], part[2:], strict=False)], np.uint64)
+        part = words[at : at + step + width - 1]
+        hashed = np.array([xxhash.xxh64_intdigest(b" ".join(s), 42) for s in zip(*(part[k:] for k in range(width)), strict=False)], np.uint64)
         ones += np.unpackbits(hashed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
@@ -220,7 +220,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """One row of each component, that of the smallest doc_id, with all its columns."""
+    """One row of each component of near_duplicates, that of the smallest doc_id, with all its columns.
+
+    A null doc_id comes last; among rows of one doc_id the row number decides. Nulls and texts without words are as there.
+    """
     rows = _printed(docs, doc_id, text, True)
     out = rows.join(classes(rows.select("_rid", "_doc", "_fp"), distance), F.col("_fp") == F.col("_of"))
     return out.filter("_rid = _first").select("_row.*")
