@@ -25,9 +25,9 @@ SEEDS = (mix(np.arange(1, 513, dtype=np.uint64)) >> np.uint64(32)).astype(np.uin
 
 #: Characters of text that a block of a bucket's members has on average; a task compares two blocks at a time.
 BLOCK_CHARS = 1 << 20
-#: Shingles of texts seen lately that a task of the comparison holds.
-HELD = 500_000
-#: 8-byte keys that a broadcast may hold (about 30 MB as a hash table); more are joined by shuffle.
+#: Characters of different texts after which a task of the comparison turns to the groups read so far.
+HELD = 300_000
+#: 8-byte keys that a broadcast may hold (about 80 MB as a hash table); more are joined by shuffle.
 MAX_KEYS = 1_000_000
 
 
@@ -85,10 +85,6 @@ class Characters:
     def numbers(self, lines: list[str], exact: bool) -> tuple[np.ndarray, np.ndarray]:
         return windows(lines, self.width, exact)
 
-    def lasting(self, lines: list[str]) -> bool:
-        """Whether the exact numbers of these lines are those that other calls give."""
-        return all(x.isascii() for x in lines)
-
 
 def signatures(kind, bands: int, rows: int):
     """An Arrow function from (_key, _line) to (_key, _bands, _chars); a line that a task has seen lately gives no second row."""
@@ -148,46 +144,42 @@ def connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def _linked(kind, percent: int):
-    """An Arrow function from the members (_band, i, j, _key, _line) of groups that stand together to the links (a, b)."""
-
-    def links(keys: list[bytes], lines: list[str], held: dict) -> tuple[list[bytes], list[bytes]]:
-        new = [k for k, key in enumerate(keys) if key not in held]
-        lasting = kind.lasting(lines)
-        if not lasting:
-            new, held = list(range(len(keys))), {}
-        if new:
-            if lasting and sum(map(len, held.values())) > HELD:
-                held.clear()
-                new = list(range(len(keys)))
-            numbers, first = kind.numbers([lines[k] for k in new], True)
-            for k, part in zip(new, np.split(numbers, first[1:]), strict=True):
-                held[keys[k]] = np.unique(part)
-        sets = [held[k] for k in keys]
-        if len(sets) == 2:
-            both = len(np.intersect1d(*sets, assume_unique=True))
-            return ([keys[0]], [keys[1]]) if 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both) else ([], [])
-        root = connected(sets, percent)
-        who = np.flatnonzero(root != np.arange(len(root))).tolist()
-        return [keys[k] for k in who], [keys[root[k]] for k in who]
+    """An Arrow function from the members (_band, i, j, _key, _line) of groups that stand together to the links (a, b).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, keys, lines, now = {}, [], [], None
+    Small groups are read together, so that the sets of all their texts are made by one call, each text's once.
+    """
+
+    def links(groups: list[list[bytes]], texts: dict[bytes, str]) -> pa.RecordBatch:
+        numbers, first = kind.numbers(list(texts.values()), True)
+        sets = {k: np.unique(part) for k, part in zip(texts, np.split(numbers, first[1:]), strict=True)}
         a, b = [], []
+        for keys in groups:
+            own = [sets[k] for k in keys]
+            if len(own) == 2:
+                both = len(np.intersect1d(*own, assume_unique=True)) if 100 * min(map(len, own)) >= percent * max(map(len, own)) else 0
+                root = [0, 0 if 100 * both >= percent * (len(own[0]) + len(own[1]) - both) else 1]
+            else:
+                root = connected(own, percent).tolist()
+            a += [keys[k] for k, r in enumerate(root) if r != k]
+            b += [keys[r] for k, r in enumerate(root) if r != k]
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, texts, size, now = [], {}, 0, None
         for batch in batches:
             for group, key, line in zip(zip(*(batch[c].to_pylist() for c in ("_band", "i", "j")), strict=True), batch["_key"].to_pylist(), batch["_line"].to_pylist(), strict=True):
                 if group != now:
-                    if len(keys) > 1:
-                        more = links(keys, lines, held)
-                        a += more[0]
-                        b += more[1]
-                    keys, lines, now = [], [], group
-                keys.append(key)
-                lines.append(line)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-            a, b = [], []
-        if len(keys) > 1:
-            a, b = links(keys, lines, held)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                    if size > HELD:
+                        yield links([g for g in groups if len(g) > 1], texts)
+                        groups, texts, size = [], {}, 0
+                    groups.append([])
+                    now = group
+                groups[-1].append(key)
+                if key not in texts:
+                    texts[key] = line
+                    size += len(line)
+        if texts:
+            yield links([g for g in groups if len(g) > 1], texts)
 
     return run
 
