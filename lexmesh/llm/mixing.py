@@ -53,19 +53,54 @@ def schedule(sized: DataFrame) -> DataFrame:
     return placed.withColumn("start", F.col("_base") + F.sum("size").over(within) - F.col("size")).drop("_key", "_bucket", "_base")
 
 
-def copies(scheduled: DataFrame) -> DataFrame:
-    """One row per copy that the mix takes, in order of virtual finish time (a global range sort).
+#: Range partitions of virtual time on either side of 1; the one running sum over them has a row each.
+RANGES = 4096
 
-    finish = words served up to the copy's end / target. Up to virtual time v the queues together have served v times
-    the budget, so the total budget is reached at v = 1: the copies in service there are truncated, later ones dropped.
-    words is what the mix takes of the copy.
+
+def budget(total: Column | int, share: float = SHARE, passes: int = MAX_PASSES) -> Column:
+    """Words that the mix holds: what the targets add up to."""
+    return F.floor(F.lit(float(min(share, passes))) * total + 0.5).cast("long")
+
+
+def packets(scheduled: DataFrame) -> DataFrame:
+    """(_rid, _source, pass, size, lo, words, finish): what the queues serve, a row for each copy of a row's words.
+
+    lo: words that the source has served before; finish: virtual finish time, the source's words up to the packet's end
+    by its target. The copy in service at the end of its source's target is served as two packets, so that the mix can
+    stop between them.
     """
     goal = F.floor(F.col("target") + 0.5).cast("long")
-    out = scheduled.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1))))
-    out = out.withColumn("_from", F.col("start") + F.col("pass") * F.col("source_size"))
-    out = out.withColumn("words", F.least(F.col("size"), goal - F.col("_from"))).filter("words > 0")
-    out = out.withColumn("finish", (F.col("_from") + F.col("size")) / F.col("target")).drop("_from")
-    return out.orderBy("finish", F.col("_source").asc_nulls_last(), "start", "pass")
+    out = scheduled.filter("size > 0").select("_rid", "_source", "size", "target", "start", "source_size", F.explode(F.sequence(F.lit(0), F.lit(MAX_PASSES - 1))).alias("pass"))
+    out = out.withColumn("_from", F.col("start") + F.col("pass") * F.col("source_size")).withColumn("_to", F.col("_from") + F.col("size"))
+    part = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
+    whole = F.array(part(F.col("_from"), F.col("_to")))
+    parts = F.when((F.col("_from") < goal) & (goal < F.col("_to")), F.array(part(F.col("_from"), goal), part(goal, F.col("_to")))).otherwise(whole)
+    out = out.withColumn("_p", F.explode(parts))
+    return out.select("_rid", "_source", "pass", "size", F.col("_p.lo").alias("lo"), (F.col("_p.hi") - F.col("_p.lo")).alias("words"), (F.col("_p.hi") / F.col("target")).alias("finish"))
+
+
+def taken_packets(served: DataFrame, total: Column) -> DataFrame:
+    """Add taken: the words that fit into the budget when packets go out in the order of virtual finish time.
+
+    Packets are sorted by ranges of virtual time: words are summed by range, the ranges' sums run up to each range, and
+    within a range packets run up in order of finish, source and place. Queues are shuffled, so ranges are about even;
+    the times after 1 map to as many ranges.
+    """
+    time = F.when(F.col("finish") <= 1, F.col("finish")).otherwise(2 - 1 / F.col("finish"))
+    served = cut(served.withColumn("_range", F.floor(time * RANGES).cast("int")), "packets")
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = served.groupBy("_range").agg(F.sum("words").alias("_words")).select(F.col("_range").alias("_r"), F.coalesce(F.sum("_words").over(upto), F.lit(0)).alias("_before"))
+    within = Window.partitionBy("_range").orderBy("finish", F.col("_source").asc_nulls_last(), "lo").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = served.join(F.broadcast(before), F.col("_range") == F.col("_r"))  # 2 * RANGES + 1 rows at most
+    left = total - (F.col("_before") + F.sum("words").over(within) - F.col("words"))
+    return out.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("words"), left)).cast("long")).drop("_range", "_r", "_before")
+
+
+def mixed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(schedule, packets with the words taken) of sized rows (_rid, _id, _source, size)."""
+    placed = cut(schedule(rows), "placed")
+    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return placed, taken_packets(packets(placed), budget(F.lit(total)))
 
 
 def sized_rows(docs: DataFrame, doc_id: str, text: str, source: str, row: list[Column]) -> DataFrame:
@@ -80,8 +115,8 @@ def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     Nulls: a null text has size 0 and nothing of it is taken; null sources form the last source. Empty texts are of size
     0. Rows that repeat are documents of their own. An empty table gives no rows. Other columns are not read.
     """
-    placed = schedule(sized_rows(docs, doc_id, text, source, []))
-    taken = copies(placed).groupBy("_rid").agg(F.sum("words").alias("taken")).withColumnRenamed("_rid", "_t")
+    placed, served = mixed(sized_rows(docs, doc_id, text, source, []))
+    taken = served.groupBy("_rid").agg(F.sum("taken").alias("taken")).withColumnRenamed("_rid", "_t")
     out = placed.join(taken, F.col("_rid") == F.col("_t"), "left")
     return out.select(F.col("_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -89,11 +124,15 @@ def mix_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mixed corpus in virtual-time order: rows of docs, a row once for each copy taken.
 
-    A document is delivered whole: the copy in service at the end of the budget goes in if at least half of it fits.
+    A document is delivered whole: a copy goes in if at least half of its words do. Texts without words (null, empty,
+    blank) take no words and aren't delivered. Null sources form the last source; rows that repeat, or share an id, are
+    documents of their own; copies of equal finish time go by row number. An empty table gives no rows. Columns may have
+    any names: rows travel as one struct.
     """
     rows = sized_rows(docs, doc_id, text, source, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")])
-    taken = copies(schedule(rows.drop("_row"))).filter(2 * F.col("words") >= F.col("size"))
-    times = taken.groupBy("_rid").agg(F.sort_array(F.collect_list("finish")).alias("_times")).withColumnRenamed("_rid", "_t")  # of two passes
+    _, served = mixed(rows.drop("_row"))
+    copies = served.groupBy("_rid", "pass").agg(F.max("finish").alias("finish"), F.first("size").alias("size"), F.sum("taken").alias("taken")).filter(2 * F.col("taken") >= F.col("size"))
+    times = copies.groupBy("_rid").agg(F.sort_array(F.collect_list("finish")).alias("_times")).withColumnRenamed("_rid", "_t")  # of two passes
     met = rows.select("_rid", "_row").join(times, F.col("_rid") == F.col("_t"))
     return met.select("_rid", "_row", F.explode("_times").alias("_finish")).orderBy("_finish", "_rid").select("_row.*")
 
@@ -106,8 +145,11 @@ o AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WH
 l AS (SELECT *, ({SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS lvl FROM o
       WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(cap, weight * (SELECT max(lvl) FROM l)) AS target FROM l),
-p AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM d),
-j AS (SELECT doc_id, size, source_size, target, floor(target + 0.5)::BIGINT AS goal, start::BIGINT AS start FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, goal - start)) + greatest(0, least(size, goal - start - source_size)))::BIGINT AS taken FROM j
+p AS (SELECT d.*, row_number() OVER () AS rid, sum(size) OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS start FROM d),
+j AS (SELECT rid, doc_id, p.source, size, source_size, target, floor(target + 0.5)::BIGINT AS goal, start::BIGINT AS start FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, start + pass * source_size AS a, start + pass * source_size + size AS z FROM j, (SELECT unnest(range(0, {MAX_PASSES})) AS pass) WHERE size > 0),
+k AS (SELECT rid, source, target, a AS lo, CASE WHEN a < goal AND goal < z THEN goal ELSE z END AS hi FROM c UNION ALL SELECT rid, source, target, goal, z FROM c WHERE a < goal AND goal < z),
+r AS (SELECT rid, hi - lo AS words, sum(hi - lo) OVER (ORDER BY hi / target, source NULLS LAST, lo ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM k),
+g AS (SELECT rid, sum(greatest(0, least(words, (SELECT floor({float(min(SHARE, MAX_PASSES))}::DOUBLE * sum(size) + 0.5)::BIGINT FROM d) - upto + words)))::BIGINT AS taken FROM r GROUP BY rid)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM j LEFT JOIN g ON j.rid = g.rid
 """

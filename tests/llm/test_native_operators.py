@@ -1,5 +1,6 @@
 """Quality rules, mixing, decontamination and line deduplication against brute force."""
 
+import hashlib
 import random
 import re
 
@@ -95,13 +96,37 @@ def test_mixing(spark, docs):
         s = [s for s in sizes if abs(targets[s] - r.target) < 1e-6 and sizes[s] == r.source_size]
         assert s
         taken[s[0]] = taken.get(s[0], 0) + r.taken
-    assert all(abs(taken[s] - targets[s]) <= 0.5 + 1e-9 for s in targets)
+    assert all(abs(taken[s] - targets[s]) <= 0.5 + len(targets) / 2 for s in targets) and sum(taken.values()) == int(1.5 * sum(sizes.values()) + 0.5)
+    plan = mixing.mix_report(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"sum\(words.*finish#\d+ ASC", plan), plan  # the words taken follow from the order of finish times
     assert key(mixing.mix_report(docs.repartition(7)).collect()) == key(got)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     assert max(r["count"] for r in mixed.groupBy("doc_id", "text").count().collect()) <= 4  # two rows of one id, twice each
 
 
+def test_mixing_against_a_queue(spark, docs):
+    """One queue after the other, word by word: each next packet is the one of the least virtual finish time."""
+    got = mixing.mix_report(docs).collect()
+    by, want = {}, {}
+    for i, (d, t, s) in enumerate(corpus()):
+        by.setdefault(s, []).append((hashlib.md5(("" if d is None else str(d)).encode()).hexdigest(), d is not None, d or 0, len(WORD.findall(t or "")), i))
+    sizes = {s: sum(r[3] for r in rows) for s, rows in by.items()}
+    targets, line = plain_targets(sizes), []
+    for s, rows in by.items():
+        at, goal = 0, int(targets[s] + 0.5)
+        for _, _, _, n, i in sorted(rows) * 2:
+            for lo, hi in ((at, goal), (goal, at + n)) if at < goal < at + n else ((at, at + n),):
+                if hi > lo:
+                    line.append((hi / targets[s], s is None, s or "", lo, hi - lo, i))
+            at += n
+    left = int(1.5 * sum(sizes.values()) + 0.5)
+    for _, _, _, _, n, i in sorted(line):
+        want[i] = want.get(i, 0) + min(n, left)
+        left -= min(n, left)
+    assert key((r.doc_id, r.size, r.taken) for r in got) == key((d, len(WORD.findall(t or "")), want.get(i, 0)) for i, (d, t, _) in enumerate(corpus()))
+
+
 def test_mixing_edges(spark):
     assert mixing.mix_report(documents(spark, [])).count() == 0
     assert [r.taken for r in mixing.mix_report(documents(spark, [(1, None, None), (2, "", "a")])).collect()] == [0, 0]
