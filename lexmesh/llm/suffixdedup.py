@@ -7,19 +7,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import cut, discard, text_of
+from lexmesh.llm.common import broadcast_if_small, cut, discard, text_of
 
 #: Length of a match in bytes, and of the grams whose least hash names a window.
 LENGTH = 50
 GRAM = 20
-#: Bytes of text that one index holds, and passages of one name beyond which they are compared window by window instead.
+#: Bytes of passages that one index holds at most, but for a few in excess; half of it on average.
 INDEX_BYTES = 4 << 20
-MAX_PASSAGES = 4096
-#: Windows hashed at a time within a text.
+#: Windows of a passage, and of a text that are hashed at a time.
+LONGEST = 2048
 CHUNK = 1 << 20
+#: 8-byte row numbers that a broadcast may hold; beyond that texts are shuffled unfiltered.
+MAX_KEYS = 1_000_000
+#: Names that a task compares among themselves before it sends them on.
+HELD_NAMES = 500_000
 U = np.uint64
 
 
@@ -63,11 +67,14 @@ def named_runs(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray,
 class RunIndex:
     """Run-compressed Burrows-Wheeler transform of passages, each closed by an end mark of its own.
 
-    Kept: the letter and length of each run, and the text positions of each run's first and last row (sampled run ends).
+    Kept are arrays with an element for each run: its first row, its letter (heads), its length, the row that its first
+    row maps to one letter further left, the text positions of its first and last row (sampled run ends), and the letters
+    that the suffixes around its mapped border share. The sorted suffixes and the text serve the construction alone.
     """
 
-    def __init__(self, passages: list[bytes]):
+    def __init__(self, passages: list[bytes], cap: int = LENGTH):
         sizes = np.array([len(p) + 1 for p in passages], np.int64)
+        self.sizes, self.size = sizes, int(sizes.sum())
         self.owner = np.repeat(np.arange(len(passages)), sizes)
         self.ends = np.cumsum(sizes) - 1
         self.starts = self.ends - sizes + 1
@@ -82,7 +89,38 @@ class RunIndex:
         self.heads = before[self.first_rows]
         self.run_lengths = np.diff(np.append(self.first_rows, len(order)))
         self.first_samples, self.last_samples = order[self.first_rows], order[np.append(self.first_rows[1:], len(order)) - 1]
-        self.order = order
+        by_letter = np.argsort(self.heads, kind="stable")
+        lengths = self.run_lengths[by_letter]
+        self.maps_to = np.empty(len(by_letter), np.int64)
+        self.maps_to[by_letter] = np.cumsum(lengths) - lengths
+        # Of neighbours in by_letter with one letter, the last row of the one and the first of the other map side by side.
+        self.shared = np.zeros(len(by_letter), np.int64)
+        same = np.flatnonzero((self.heads[by_letter[1:]] == self.heads[by_letter[:-1]]) & (self.heads[by_letter[1:]] > 0))
+        above, below = by_letter[same], by_letter[same + 1]
+        self.shared[below] = self._shared(self.first_samples[below] - 1, self.last_samples[above] - 1, cap)
+        del self.text, self.left, self.owner, self.packed
+
+    def stream(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Stream all passages through the runs from their ends, a letter of each at a time.
+
+        Gives (passage, place in it, row, letters shared with the row above). Inside a run that number grows by one with
+        each letter, since the row above has the same letter before it; at the start of a run it is the run's own. It is
+        right up to the cap, and at least the cap beyond.
+        """
+        lane = np.arange(len(self.sizes))
+        row, match, step = lane, np.zeros(len(lane), np.int64), 0
+        while True:
+            run = np.searchsorted(self.first_rows, row, side="right") - 1
+            go = self.heads[run] > 0
+            if not go.all():
+                lane, row, match, run = lane[go], row[go], match[go], run[go]
+            if not len(lane):
+                return
+            step += 1
+            inside = row - self.first_rows[run]
+            match = np.where(inside > 0, match + 1, self.shared[run])
+            row = self.maps_to[run] + inside
+            yield lane, self.sizes[lane] - 1 - step, row, match
 
     def _pack(self) -> None:
         """For each position as many letters as one number holds, nothing from the end mark on."""
@@ -133,95 +171,132 @@ class RunIndex:
             open_ = open_[(differ == 0) & (np.minimum(self.left[a[open_]], self.left[b[open_]]) > at + self.letters)]
         return np.minimum(np.minimum(out, cap), np.minimum(self.left[a], self.left[b]))
 
-    def match_lengths(self, cap: int = LENGTH) -> np.ndarray:
-        """By row: the bytes that its suffix shares with the row above's, cap at most.
-
-        Letters are compared only where runs begin, between the sampled ends of two runs. The other lengths follow while
-        the text streams by: within a run the match of a position is that of the position before it less one. A match cut
-        at cap hides how long it is; positions behind such a one are compared themselves.
-        """
-        n = len(self.text)
-        fixed = np.full(n, -1, np.int64)
-        fixed[self.first_samples] = np.append(0, self._shared(self.first_samples[1:], self.last_samples[:-1], cap))
-        source = np.maximum.accumulate(np.where(fixed >= 0, np.arange(n), 0))
-        behind = np.arange(n) - source
-        out = np.maximum(fixed[source] - behind, 0)
-        again = np.flatnonzero((fixed[source] >= cap) & (behind > 0))
-        if len(again):
-            rows = np.empty(n, np.int64)
-            rows[self.order] = np.arange(n)
-            out[again] = self._shared(again, self.order[np.maximum(rows[again] - 1, 0)], cap)
-        return out[self.order]
-
 
 def first_documents(passages: list[bytes], docs: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(passage, window, least document that has the window) for every window of every passage."""
-    index = RunIndex(passages)
-    own = docs[index.owner[index.order]]
-    group = np.flatnonzero(np.append(True, index.match_lengths(length)[1:] < length))
-    least = np.repeat(np.minimum.reduceat(own, group), np.diff(np.append(group, len(own))))
-    whole = index.ends[index.owner[index.order]] - index.order >= length
-    at = index.order[whole]
-    back = np.argsort(at)
-    at, who = at[back], index.owner[at[back]]
-    return who, at - index.starts[who], least[whole][back]
+    index = RunIndex(passages, length)
+    begins, least = np.ones(index.size, bool), np.full(index.size, np.iinfo(np.int64).max)
+    who, at, rows = [], [], []
+    for lane, place, row, match in index.stream():
+        begins[row] = match < length
+        least[row] = docs[lane]
+        whole = index.sizes[lane] - 1 - place >= length
+        who.append(lane[whole])
+        at.append(place[whole])
+        rows.append(row[whole])
+    group = np.flatnonzero(begins)  # equal windows stand together: each row but the first shares them with the row above
+    best = np.minimum.reduceat(least, group)
+    who, at, rows = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (who, at, rows))
+    back = np.lexsort([at, who])
+    return who[back], at[back], best[np.cumsum(begins)[rows[back]] - 1]
 
 
-NAMES = pa.schema([("_rid", pa.int64()), ("_doc", pa.int64()), ("n_bytes", pa.int64()), ("whole_sha256", pa.string()), ("_names", pa.list_(pa.int64()))])
+def _names(length: int):
+    """(name, who) of the texts of (_rid, _t): who is 4 * _rid + 2 if the name is known to be in several of the task's texts + 1 if it is told so by another row of the task."""
 
+    def told(names: list[np.ndarray], rids: list[int]) -> pa.RecordBatch:
+        n, r = np.concatenate(names), np.repeat(np.array(rids, np.int64), [len(x) for x in names])
+        order = np.argsort(n, kind="stable")
+        n, r = n[order], r[order]
+        first = np.append(True, n[1:] != n[:-1])
+        known = ~(first & np.append(first[1:], True))
+        return pa.RecordBatch.from_arrays([pa.array(n), pa.array(4 * r + 2 * known + ~first)], ["name", "who"])
 
-def _names(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, rids, size = [], [], 0
         for batch in batches:
-            sizes, digests, names = [], [], []
-            for text in batch["_t"].to_pylist():
-                data = text.encode("utf-8", "surrogatepass")
-                found = [v for v, _, _ in named_runs(data, length)]
-                sizes.append(len(data))
-                digests.append(hashlib.sha256(data).hexdigest())
-                names.append(np.unique(np.concatenate(found)) if found else np.empty(0, np.int64))
-            ends = np.cumsum([0, *map(len, names)]).astype(np.int32)
-            flat = np.concatenate(names) if names else np.empty(0, np.int64)
-            cols = [batch["_rid"], batch["_doc"], pa.array(sizes, pa.int64()), pa.array(digests), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(cols, NAMES.names)
+            for rid, text in zip(batch["_rid"].to_pylist(), batch["_t"].to_pylist(), strict=True):
+                found = [v for v, _, _ in named_runs(text.encode("utf-8", "surrogatepass"), length)]
+                if found:
+                    names.append(np.unique(np.concatenate(found)))
+                    rids.append(rid)
+                    size += len(names[-1])
+                if size > HELD_NAMES:
+                    yield told(names, rids)
+                    names, rids, size = [], [], 0
+        if size:
+            yield told(names, rids)
 
     return run
 
 
-PASSAGES = pa.schema([("_rid", pa.int64()), ("_doc", pa.int64()), ("name", pa.int64()), ("at", pa.int64()), ("passage", pa.binary())])
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_rid, name) of the rows (name, who), in order of name, that are known to be shared or stand beside one of the same name."""
+    last: tuple[np.ndarray, np.ndarray, bool] = (np.empty(0, np.int64), np.empty(0, np.int64), False)
+
+    def some(n: np.ndarray, who: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+        keep = keep | (who & 2 > 0)
+        return pa.RecordBatch.from_arrays([pa.array(who[keep] >> 2), pa.array(n[keep])], ["_rid", "name"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        n, who = (np.append(old, batch[c].to_numpy()) for old, c in zip(last, ("name", "who"), strict=False))
+        as_before = np.append(last[2], n[1:] == n[:-1])
+        yield some(n[:-1], who[:-1], as_before[:-1] | as_before[1:])
+        last = n[-1:], who[-1:], bool(as_before[-1])
+    if len(last[0]):
+        yield some(last[0], last[1], np.array([last[2]]))
+
+
+PASSAGES = pa.schema([("_rid", pa.int64()), ("_doc", pa.int64()), ("name", pa.int64()), ("at", pa.int64()), ("n", pa.int32()), ("passage", pa.binary())])
 
 
 def _passages(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[] for _ in PASSAGES]
             for rid, doc, text, wanted in zip(batch["_rid"].to_pylist(), batch["_doc"].to_pylist(), batch["_t"].to_pylist(), batch["_wanted"], strict=True):
                 data, wanted = text.encode("utf-8", "surrogatepass"), np.sort(wanted.values.to_numpy(zero_copy_only=False))
                 for names, first, n in named_runs(data, length):
                     spot = np.minimum(np.searchsorted(wanted, names), len(wanted) - 1)
-                    hit = np.flatnonzero(wanted[spot] == names)
-                    at, end = first[hit], first[hit] + n[hit] + length - 1
-                    for col, new in zip(cols, ([rid] * len(hit), [doc] * len(hit), names[hit].tolist(), at.tolist(), [data[i:j] for i, j in zip(at.tolist(), end.tolist(), strict=True)]), strict=True):
-                        col += new
+                    for k in np.flatnonzero(wanted[spot] == names).tolist():
+                        for at in range(int(first[k]), int(first[k] + n[k]), LONGEST):
+                            size = min(LONGEST, int(first[k] + n[k]) - at)
+                            for col, x in zip(cols, (rid, doc, int(names[k]), at, size, data[at : at + size + length - 1]), strict=True):
+                                col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PASSAGES, strict=True)], schema=PASSAGES)
+
+    return run
+
+
+def _dealt(length: int):
+    """Cut passages whose name has too many of them for one index: a window goes to one of _parts by its own hash, and the part makes a name of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols: list[list] = [[] for _ in PASSAGES]
+            for rid, doc, name, at, data, parts in zip(*(batch[c].to_pylist() for c in ("_rid", "_doc", "name", "at", "passage", "_parts")), strict=True):
+                part = (gram_hashes(np.frombuffer(data, np.uint8), length) % U(parts)).astype(np.int64)
+                first = np.flatnonzero(np.append(True, part[1:] != part[:-1])).tolist()
+                for i, j in zip(first, [*first[1:], len(part)], strict=True):
+                    own = int(np.array([(name + 0x9E3779B97F4A7C15 * (int(part[i]) + 1)) % (1 << 64)], np.uint64).view(np.int64)[0])
+                    for col, x in zip(cols, (rid, doc, own, at + i, j - i, data[i : j + length - 1]), strict=True):
+                        col.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PASSAGES, strict=True)], schema=PASSAGES)
 
     return run
 
 
-VERDICTS = pa.schema([("name", pa.int64()), ("code", pa.int64()), ("off", pa.int32()), ("n", pa.int32()), ("first", pa.int64())])
+SPAN = pa.struct([("off", pa.int64()), ("n", pa.int64())])
+VERDICTS = pa.schema([("name", pa.int64()), ("code", pa.int64()), ("spans", pa.list_(SPAN))])
 
 
 def _index(length: int):
+    """From (bucket, name, code, first, passage), a bucket's rows together: the windows of each passage that a smaller document than its first has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(rows: pa.Table) -> pa.RecordBatch:
             rows = rows.sort_by("first")
-            who, at, least = first_documents(rows["passage"].to_pylist(), rows["first"].to_numpy(), length)
-            cut_ = np.append(True, (who[1:] != who[:-1]) | (least[1:] != least[:-1]))
-            start = np.flatnonzero(cut_)
+            first = rows["first"].to_numpy()
+            who, at, least = first_documents(rows["passage"].to_pylist(), first, length)
+            gone = least < first[who]
+            who, at = who[gone], at[gone]
+            start = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (at[1:] != at[:-1] + 1))) if len(who) else np.empty(0, np.int64)
             n = np.diff(np.append(start, len(who)))
-            own = who[start]
-            cols = [rows["name"].to_numpy()[own], rows["code"].to_numpy()[own], at[start].astype(np.int32), n.astype(np.int32), least[start]]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, VERDICTS, strict=True)], schema=VERDICTS)
+            ends = np.searchsorted(who[start], np.arange(len(first) + 1)).astype(np.int32)
+            spans = pa.StructArray.from_arrays([pa.array(at[start], pa.int64()), pa.array(n, pa.int64())], fields=list(SPAN))
+            return pa.RecordBatch.from_arrays([pa.array(rows["name"].to_numpy()), pa.array(rows["code"].to_numpy()), pa.ListArray.from_arrays(pa.array(ends), spans)], schema=VERDICTS)
 
         held, bucket = [], None
         for batch in batches:
@@ -264,51 +339,72 @@ def _removed(length: int, texts: bool):
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (with texts=True also the kept bytes).
 
-    1. Every window of 50 bytes is named by the least hash of its 20-byte grams; equal windows have one name. Names met
-    under one doc_id alone are done with. 2. Of the others each run of windows of one name makes a passage; equal
-    passages become one, with its least doc_id. 3. Passages are dealt to buckets by name, so that equal windows meet; a
-    bucket is indexed (RunIndex) and each window gets the least doc_id that has it. Names with very many passages, such
-    as the start of a boilerplate text after different words, are grouped by window instead. 4. Windows whose least
-    doc_id is smaller than their own document's are removed.
+    1. Every window of 50 bytes is named by the least hash of its 20-byte grams; equal windows have one name. A task tells
+    its own shared names; of each other name one row goes on, so that a crowded name costs a row a task. 2. Of names that
+    several rows have, each run of windows makes a passage. If all passages of a name are equal, its windows belong to
+    the least doc_id. 3. Different passages of one name go to a bucket by name, in which they are indexed (RunIndex) and
+    streamed, each passage once: which of its windows has a smaller document than its first one? The passages of a name
+    with more bytes than an index holds are dealt to several buckets by their windows. 4. In documents after a passage's
+    first one the whole passage goes, in the first one the windows found by the index.
 
     Nulls and empty texts have no bytes. Rows of one doc_id never remove from each other; a null doc_id counts as the
     largest. Texts shorter than 50 bytes stay. An empty table gives no rows. Other columns are not read.
     """
     last = 2**63 - 1
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.coalesce(F.col(doc_id).cast("long"), F.lit(last)).alias("_doc"), text_of(text).alias("_t"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), (F.col(doc_id).isNull()).alias("_no"), F.coalesce(F.col(doc_id).cast("long"), F.lit(last)).alias("_doc"), text_of(text).alias("_t"))
     rows = cut(rows, "rows")
-    named = cut(rows.mapInArrow(_names(length), "_rid long, _doc long, n_bytes long, whole_sha256 string, _names array<long>"), "names")
-    by_name = Window.partitionBy("name")
-    each = named.select("_rid", "_doc", F.explode("_names").alias("name"))
-    shared = each.withColumn("_many", F.min("_doc").over(by_name) < F.max("_doc").over(by_name)).filter("_many")
-    wanted = shared.groupBy("_rid").agg(F.collect_list("name").alias("_wanted")).withColumnRenamed("_rid", "_w")
-    picked = rows.join(wanted, F.col("_rid") == F.col("_w")).select("_rid", "_doc", "_t", "_wanted")
-    found = cut(picked.mapInArrow(_passages(length), "_rid long, _doc long, name long, at long, passage binary").withColumn("code", F.xxhash64("passage")), "passages")
-    digests = cut(named.drop("_names"), "digests")
-    discard(named)  # window names are not read again
-    unique = cut(found.groupBy("name", "code").agg(F.min("_doc").alias("first"), F.max("_doc").alias("last"), F.first("passage").alias("passage")), "unique")
-    spots = cut(found.select("_rid", "_doc", "name", "code", "at"), "spots")
-    discard(found)  # nor are the passages of each document, now that the different ones are kept
+    names = rows.select("_rid", "_t").mapInArrow(_names(length), "name long, who long")
+    names = names.repartition(F.when(F.col("who") % 2 == 1, F.xxhash64("who")).otherwise(F.col("name"))).sortWithinPartitions("name")
+    wanted = names.mapInArrow(_several, "_rid long, name long").groupBy("_rid").agg(F.collect_list("name").alias("_wanted")).withColumnRenamed("_rid", "_w")
+    wanted = cut(wanted, "wanted")
+
+    def of(some: DataFrame, key: str) -> DataFrame:
+        """rows that some has, before they are shuffled to meet it."""
+        return rows.join(broadcast_if_small(some.select(F.col(key).alias("_s")), MAX_KEYS), F.col("_rid") == F.col("_s"), "left_semi")
+
+    picked = of(wanted, "_w").join(wanted, F.col("_rid") == F.col("_w")).select("_rid", "_doc", "_t", "_wanted")
+    kinds = "_rid long, _doc long, name long, at long, n int, passage binary"
+    found = cut(picked.mapInArrow(_passages(length), kinds).withColumn("code", F.xxhash64("passage")), "passages")
+    discard(wanted)
+
+    def different(found: DataFrame) -> DataFrame:
+        """(_n, least, differ, _parts) of each name."""
+        unique = found.groupBy("name", "code").agg(F.min("_doc").alias("first"), F.min("n").alias("n"))
+        by = unique.groupBy("name").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("codes"), F.sum("n").alias("windows"))
+        size = F.col("windows") + F.col("codes") * (length - 1)
+        parts = F.when(size <= INDEX_BYTES, 1).otherwise(F.ceil(F.col("windows") * length / INDEX_BYTES))
+        return by.select(F.col("name").alias("_n"), "least", (F.col("codes") > 1).alias("differ"), parts.cast("long").alias("_parts"))
+
+    by_name = cut(different(found), "names")
+    large = by_name.filter("_parts > 1").select("_n", "_parts")
+    if large.limit(1).count():
+        pieces = found.join(large, F.col("name") == F.col("_n")).select("_rid", "_doc", "name", "at", "passage", "_parts").mapInArrow(_dealt(length), kinds)
+        whole = found.join(large, F.col("name") == F.col("_n"), "left_anti")
+        before, found = found, cut(whole.unionByName(pieces.withColumn("code", F.xxhash64("passage"))), "passages")
+        discard(before)
+        by_name = cut(different(found), "names")
+    met = found.join(by_name, F.col("name") == F.col("_n"))
+    alike = met.filter((~F.col("differ")) & (F.col("least") < F.col("_doc"))).select("_rid", "at", F.col("n").cast("long").alias("n"))
+    mixed = cut(met.filter("differ").select("_rid", "_doc", "name", "code", "at", "n", "passage"), "mixed")
+    alike = cut(alike, "alike")
+    discard(found)
+    unique = cut(mixed.groupBy("name", "code").agg(F.min("_doc").alias("first"), F.first("passage").alias("passage")), "unique")
     total = unique.agg(F.sum(F.length("passage") + 1)).first()[0] or 0
     buckets = max(1, -(-total // INDEX_BYTES)) * 2
-    sizes = unique.groupBy("name").count().withColumnRenamed("name", "_n")
-    sized = unique.join(sizes, F.col("name") == F.col("_n")).drop("_n")
-    usual = sized.filter(F.col("count") <= MAX_PASSAGES).withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets)).cast("int"))
-    usual = usual.select("bucket", "name", "code", "first", "passage").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    indexed = usual.mapInArrow(_index(length), "name long, code long, off int, n int, first long")
-    windows = sized.filter(F.col("count") > MAX_PASSAGES).select("name", "code", "first", "passage", F.explode(F.sequence(F.lit(0), F.length("passage") - length)).alias("off"))
-    windows = windows.select("name", "code", "off", "first", F.substring("passage", F.col("off") + 1, F.lit(length)).alias("_win"))
-    least = windows.groupBy("name", "_win").agg(F.min("first").alias("_least")).withColumnsRenamed({"name": "_ln", "_win": "_lw"})
-    grouped = windows.join(least, (F.col("name") == F.col("_ln")) & (F.col("_win") == F.col("_lw"))).select("name", "code", "off", F.lit(1).alias("n"), F.col("_least").alias("first"))
-    verdicts = cut(indexed.unionByName(grouped), "verdicts").withColumnsRenamed({"name": "_vn", "code": "_vc"})
-    spans = spots.join(verdicts, (F.col("name") == F.col("_vn")) & (F.col("code") == F.col("_vc"))).filter(F.col("first") < F.col("_doc"))
-    spans = spans.groupBy("_rid").agg(F.collect_list(F.struct((F.col("at") + F.col("off")).alias("at"), F.col("n").cast("long").alias("n"))).alias("_spans")).withColumnRenamed("_rid", "_s")
-    changed = rows.join(spans, F.col("_rid") == F.col("_s")).select("_rid", "_t", "_spans").mapInArrow(_removed(length, texts), "_rid long, n_removed long, n_spans long, cut_sha256 string, kept binary").withColumnRenamed("_rid", "_c")
-    out = digests.join(changed, F.col("_rid") == F.col("_c"), "left")
+    dealt = unique.select(F.pmod(F.xxhash64("name"), F.lit(buckets)).cast("int").alias("bucket"), "name", "code", "first", "passage")
+    spans = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_index(length), "name long, code long, spans array<struct<off:long,n:long>>")
+    spans = cut(spans.withColumnsRenamed({"name": "_vn", "code": "_vc"}), "verdicts")
+    firsts = unique.select(F.col("name").alias("_fn"), F.col("code").alias("_fc"), "first")
+    placed = mixed.drop("passage").join(firsts, (F.col("name") == F.col("_fn")) & (F.col("code") == F.col("_fc"))).join(spans, (F.col("name") == F.col("_vn")) & (F.col("code") == F.col("_vc")))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("off"), F.col("n").cast("long").alias("n")))
+    gone = placed.select("_rid", "at", F.inline(F.when(F.col("first") < F.col("_doc"), whole).otherwise(F.col("spans"))).alias("_off", "_size"))
+    gone = gone.select("_rid", (F.col("at") + F.col("_off")).alias("at"), F.col("_size").alias("n"))
+    listed = cut(alike.unionByName(gone).groupBy("_rid").agg(F.collect_list(F.struct("at", "n")).alias("_spans")).withColumnRenamed("_rid", "_g"), "spans")
+    for done in (mixed, unique, alike, spans):
+        discard(done)
+    changed = of(listed, "_g").join(listed, F.col("_rid") == F.col("_g")).select("_rid", "_t", "_spans").mapInArrow(_removed(length, texts), "_rid long, n_removed long, n_spans long, cut_sha256 string, kept binary").withColumnRenamed("_rid", "_c")
     zero = F.lit(0).cast("long")
-    columns = [F.when(F.col("_doc") != last, F.col("_doc")).alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "whole_sha256").alias("kept_sha256")]
-    if texts:
-        whole = rows.select(F.col("_rid").alias("_wr"), F.encode("_t", "UTF-8").alias("_whole"))
-        out = out.join(whole, F.col("_rid") == F.col("_wr"))
-        columns.append(F.coalesce("kept", "_whole").alias("kept"))
-    return out.select(*columns)
+    sizes = rows.select("_rid", F.when(~F.col("_no"), F.col("_doc")).alias("_id"), F.octet_length("_t").cast("long").alias("n_bytes"), F.sha2("_t", 256).alias("_whole_sha"), *([F.encode("_t", "UTF-8").alias("_whole")] if texts else []))
+    out = sizes.join(changed, F.col("_rid") == F.col("_c"), "left")
+    columns = [F.col("_id").alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "_whole_sha").alias("kept_sha256")]
+    return out.select(*columns, *([F.coalesce("kept", "_whole").alias("kept")] if texts else []))

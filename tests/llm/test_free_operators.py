@@ -193,8 +193,9 @@ def test_suffix(spark, docs, monkeypatch):
     rows = corpus() + [(60 + i, "".join(rng.choice("xyzé") for _ in range(rng.randint(0, 90))) + passage[rng.randint(0, 40) : rng.randint(80, 120)] + "q" * rng.randint(0, 200), "s") for i in range(25)]
     frame, want = documents(spark, rows, EXTRA), sorted(plain_removed(rows), key=repr)
     assert sorted((tuple(r) for r in suffixdedup.remove_repeats(frame).collect()), key=repr) == want
-    monkeypatch.setattr(suffixdedup, "MAX_PASSAGES", 3)  # crowded names go window by window
-    monkeypatch.setattr(suffixdedup, "INDEX_BYTES", 500)
+    monkeypatch.setattr(suffixdedup, "INDEX_BYTES", 500)  # crowded names are dealt to several indexes
+    monkeypatch.setattr(suffixdedup, "LONGEST", 40)
+    monkeypatch.setattr(suffixdedup, "HELD_NAMES", 30)
     got = suffixdedup.remove_repeats(frame, texts=True).collect()
     assert sorted((tuple(r)[:5] for r in got), key=repr) == want
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
@@ -227,7 +228,24 @@ def test_index():
         got = list(zip(*suffixdedup.first_documents(parts, docs_), strict=True))
         assert all(want[parts[w][a : a + 50]] == least for w, a, least in got) and len(got) == sum(len(p) - 49 for p in parts)
         index = suffixdedup.RunIndex(parts)
-        assert index.run_lengths.sum() == len(index.text) and len(index.first_samples) == len(index.heads)
+        assert index.run_lengths.sum() == index.size == sum(map(len, parts)) + len(parts) and len(index.first_samples) == len(index.heads)
+
+
+def test_index_holds_runs_only():
+    """Of copies with few changes the index has far fewer elements than letters; streaming gives suffix order and shared letters."""
+    rng = random.Random(5)
+    base = bytes(rng.choice(b"abcdefgh") for _ in range(400))
+    parts = [bytes(c if rng.random() > 0.005 else 120 for c in base) for _ in range(40)]
+    index = suffixdedup.RunIndex(parts)
+    assert max(v.size for v in vars(index).values() if isinstance(v, np.ndarray)) < index.size / 4
+    rows = {}
+    for lane, place, row, match in index.stream():
+        rows.update({r: (parts[k][p:], m) for k, p, r, m in zip(lane.tolist(), place.tolist(), row.tolist(), match.tolist(), strict=True)})
+    listed = [rows[r] for r in sorted(rows)]
+    assert len(listed) == sum(map(len, parts)) and [s for s, _ in listed] == sorted(s for s, _ in listed)
+    for (a, _), (b, m) in zip(listed, listed[1:], strict=False):
+        n = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert min(n, 50) == min(m, 50)
 
 
 # Language model
