@@ -279,7 +279,7 @@ def _dealt(length: int):
 
 
 SPAN = pa.struct([("off", pa.int64()), ("n", pa.int64())])
-VERDICTS = pa.schema([("name", pa.int64()), ("code", pa.int64()), ("spans", pa.list_(SPAN))])
+VERDICTS = pa.schema([("name", pa.int64()), ("code", pa.int64()), ("first", pa.int64()), ("spans", pa.list_(SPAN))])
 
 
 def _index(length: int):
@@ -296,7 +296,7 @@ def _index(length: int):
             n = np.diff(np.append(start, len(who)))
             ends = np.searchsorted(who[start], np.arange(len(first) + 1)).astype(np.int32)
             spans = pa.StructArray.from_arrays([pa.array(at[start], pa.int64()), pa.array(n, pa.int64())], fields=list(SPAN))
-            return pa.RecordBatch.from_arrays([pa.array(rows["name"].to_numpy()), pa.array(rows["code"].to_numpy()), pa.ListArray.from_arrays(pa.array(ends), spans)], schema=VERDICTS)
+            return pa.RecordBatch.from_arrays([pa.array(rows["name"].to_numpy()), pa.array(rows["code"].to_numpy()), pa.array(first), pa.ListArray.from_arrays(pa.array(ends), spans)], schema=VERDICTS)
 
         held, bucket = [], None
         for batch in batches:
@@ -339,12 +339,13 @@ def _removed(length: int, texts: bool):
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs (with texts=True also the kept bytes).
 
-    1. Every window of 50 bytes is named by the least hash of its 20-byte grams; equal windows have one name. A task tells
-    its own shared names; of each other name one row goes on, so that a crowded name costs a row a task. 2. Of names that
+    1. Of equal texts (by SHA-256) the first row of the least doc_id goes on; the rows of larger ids are removed whole. 2.
+    Every window of 50 bytes is named by the least hash of its 20-byte grams; equal windows have one name. A task tells
+    its own shared names; of each other name one row goes on, so that a crowded name costs a row a task. 3. Of names that
     several rows have, each run of windows makes a passage. If all passages of a name are equal, its windows belong to
-    the least doc_id. 3. Different passages of one name go to a bucket by name, in which they are indexed (RunIndex) and
+    the least doc_id. 4. Different passages of one name go to a bucket by name, in which they are indexed (RunIndex) and
     streamed, each passage once: which of its windows has a smaller document than its first one? The passages of a name
-    with more bytes than an index holds are dealt to several buckets by their windows. 4. In documents after a passage's
+    with more bytes than an index holds are dealt to several buckets by their windows. 5. In documents after a passage's
     first one the whole passage goes, in the first one the windows found by the index.
 
     Nulls and empty texts have no bytes. Rows of one doc_id never remove from each other; a null doc_id counts as the
@@ -352,59 +353,63 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     last = 2**63 - 1
     rows = docs.select(F.monotonically_increasing_id().alias("_rid"), (F.col(doc_id).isNull()).alias("_no"), F.coalesce(F.col(doc_id).cast("long"), F.lit(last)).alias("_doc"), text_of(text).alias("_t"))
-    rows = cut(rows, "rows")
-    names = rows.select("_rid", "_t").mapInArrow(_names(length), "name long, who long")
+    rows = cut(rows.withColumn("_sha", F.unhex(F.sha2("_t", 256))), "rows")
+    texts_ = cut(rows.groupBy("_sha").agg(F.min(F.struct("_doc", "_rid")).alias("f"), F.count(F.lit(1)).alias("n")).select(F.col("_sha").alias("_of"), F.col("f._doc").alias("_least"), F.col("f._rid").alias("_rep"), "n"), "texts")
+    copied = texts_.filter("n > 1").select("_of", "_rep")
+    copies = rows.join(copied, F.col("_sha") == F.col("_of")).filter("_rid != _rep").select(F.col("_rid").alias("_copy"))
+    reps = rows.select("_rid", "_doc", "_t").join(broadcast_if_small(cut(copies, "copies"), MAX_KEYS), F.col("_rid") == F.col("_copy"), "left_anti")
+    names = reps.select("_rid", "_t").mapInArrow(_names(length), "name long, who long")
     names = names.repartition(F.when(F.col("who") % 2 == 1, F.xxhash64("who")).otherwise(F.col("name"))).sortWithinPartitions("name")
     wanted = names.mapInArrow(_several, "_rid long, name long").groupBy("_rid").agg(F.collect_list("name").alias("_wanted")).withColumnRenamed("_rid", "_w")
     wanted = cut(wanted, "wanted")
 
     def of(some: DataFrame, key: str) -> DataFrame:
-        """rows that some has, before they are shuffled to meet it."""
-        return rows.join(broadcast_if_small(some.select(F.col(key).alias("_s")), MAX_KEYS), F.col("_rid") == F.col("_s"), "left_semi")
+        """The rows that some has, before they are shuffled to meet it."""
+        return reps.join(broadcast_if_small(some.select(F.col(key).alias("_s")), MAX_KEYS), F.col("_rid") == F.col("_s"), "left_semi")
 
     picked = of(wanted, "_w").join(wanted, F.col("_rid") == F.col("_w")).select("_rid", "_doc", "_t", "_wanted")
     kinds = "_rid long, _doc long, name long, at long, n int, passage binary"
     found = cut(picked.mapInArrow(_passages(length), kinds).withColumn("code", F.xxhash64("passage")), "passages")
     discard(wanted)
-
-    def different(found: DataFrame) -> DataFrame:
-        """(_n, least, differ, _parts) of each name."""
-        unique = found.groupBy("name", "code").agg(F.min("_doc").alias("first"), F.min("n").alias("n"))
-        by = unique.groupBy("name").agg(F.min("first").alias("least"), F.count(F.lit(1)).alias("codes"), F.sum("n").alias("windows"))
-        size = F.col("windows") + F.col("codes") * (length - 1)
-        parts = F.when(size <= INDEX_BYTES, 1).otherwise(F.ceil(F.col("windows") * length / INDEX_BYTES))
-        return by.select(F.col("name").alias("_n"), "least", (F.col("codes") > 1).alias("differ"), parts.cast("long").alias("_parts"))
-
-    by_name = cut(different(found), "names")
-    large = by_name.filter("_parts > 1").select("_n", "_parts")
+    by_name = cut(found.groupBy("name").agg(F.min("code").alias("c"), F.max("code").alias("d"), F.min("_doc").alias("least")).select(F.col("name").alias("_n"), "least", (F.col("c") != F.col("d")).alias("differ")), "names")
+    alike = found.select("_rid", "_doc", "name", "at", F.col("n").cast("long").alias("n")).join(by_name.filter("not differ"), F.col("name") == F.col("_n"))
+    alike = cut(alike.filter(F.col("least") < F.col("_doc")).select("_rid", "at", "n"), "alike")
+    mixed = found.join(broadcast_if_small(by_name.filter("differ").select("_n"), MAX_KEYS), F.col("name") == F.col("_n"), "left_semi")
+    unique = cut(_different(mixed), "unique")
+    sizes = unique.groupBy(F.col("name").alias("_n")).agg(F.sum(F.length("passage")).alias("bytes"), F.sum("n").alias("windows")).filter(F.col("bytes") > INDEX_BYTES)
+    large = cut(sizes.select("_n", F.ceil(F.col("windows") * length / INDEX_BYTES).alias("_parts")), "large")
     if large.limit(1).count():
-        pieces = found.join(large, F.col("name") == F.col("_n")).select("_rid", "_doc", "name", "at", "passage", "_parts").mapInArrow(_dealt(length), kinds)
-        whole = found.join(large, F.col("name") == F.col("_n"), "left_anti")
-        before, found = found, cut(whole.unionByName(pieces.withColumn("code", F.xxhash64("passage"))), "passages")
-        discard(before)
-        by_name = cut(different(found), "names")
-    met = found.join(by_name, F.col("name") == F.col("_n"))
-    alike = met.filter((~F.col("differ")) & (F.col("least") < F.col("_doc"))).select("_rid", "at", F.col("n").cast("long").alias("n"))
-    mixed = cut(met.filter("differ").select("_rid", "_doc", "name", "code", "at", "n", "passage"), "mixed")
-    alike = cut(alike, "alike")
-    discard(found)
-    unique = cut(mixed.groupBy("name", "code").agg(F.min("_doc").alias("first"), F.first("passage").alias("passage")), "unique")
+        pieces = mixed.join(large, F.col("name") == F.col("_n")).select("_rid", "_doc", "name", "at", "passage", "_parts").mapInArrow(_dealt(length), kinds)
+        whole = mixed.join(large, F.col("name") == F.col("_n"), "left_anti")
+        mixed = cut(whole.unionByName(pieces.withColumn("code", F.xxhash64("passage"))), "pieces")
+        unique = cut(_different(mixed), "unique")
     total = unique.agg(F.sum(F.length("passage") + 1)).first()[0] or 0
     buckets = max(1, -(-total // INDEX_BYTES)) * 2
     dealt = unique.select(F.pmod(F.xxhash64("name"), F.lit(buckets)).cast("int").alias("bucket"), "name", "code", "first", "passage")
-    spans = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_index(length), "name long, code long, spans array<struct<off:long,n:long>>")
+    spans = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_index(length), "name long, code long, first long, spans array<struct<off:long,n:long>>")
     spans = cut(spans.withColumnsRenamed({"name": "_vn", "code": "_vc"}), "verdicts")
-    firsts = unique.select(F.col("name").alias("_fn"), F.col("code").alias("_fc"), "first")
-    placed = mixed.drop("passage").join(firsts, (F.col("name") == F.col("_fn")) & (F.col("code") == F.col("_fc"))).join(spans, (F.col("name") == F.col("_vn")) & (F.col("code") == F.col("_vc")))
+    placed = mixed.drop("passage").join(spans, (F.col("name") == F.col("_vn")) & (F.col("code") == F.col("_vc")))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("off"), F.col("n").cast("long").alias("n")))
     gone = placed.select("_rid", "at", F.inline(F.when(F.col("first") < F.col("_doc"), whole).otherwise(F.col("spans"))).alias("_off", "_size"))
     gone = gone.select("_rid", (F.col("at") + F.col("_off")).alias("at"), F.col("_size").alias("n"))
     listed = cut(alike.unionByName(gone).groupBy("_rid").agg(F.collect_list(F.struct("at", "n")).alias("_spans")).withColumnRenamed("_rid", "_g"), "spans")
-    for done in (mixed, unique, alike, spans):
+    for done in (found, unique, alike, spans):
         discard(done)
     changed = of(listed, "_g").join(listed, F.col("_rid") == F.col("_g")).select("_rid", "_t", "_spans").mapInArrow(_removed(length, texts), "_rid long, n_removed long, n_spans long, cut_sha256 string, kept binary").withColumnRenamed("_rid", "_c")
     zero = F.lit(0).cast("long")
-    sizes = rows.select("_rid", F.when(~F.col("_no"), F.col("_doc")).alias("_id"), F.octet_length("_t").cast("long").alias("n_bytes"), F.sha2("_t", 256).alias("_whole_sha"), *([F.encode("_t", "UTF-8").alias("_whole")] if texts else []))
-    out = sizes.join(changed, F.col("_rid") == F.col("_c"), "left")
-    columns = [F.col("_id").alias("doc_id"), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("cut_sha256", "_whole_sha").alias("kept_sha256")]
-    return out.select(*columns, *([F.coalesce("kept", "_whole").alias("kept")] if texts else []))
+    each = rows.select("_doc", F.when(~F.col("_no"), F.col("_doc")).alias("_id"), "_sha", F.octet_length("_t").cast("long").alias("n_bytes"), *([F.encode("_t", "UTF-8").alias("_whole")] if texts else []))
+    out = each.join(texts_.drop("n"), F.col("_sha") == F.col("_of")).join(changed, F.col("_rep") == F.col("_c"), "left")
+    out = out.withColumn("_all", (F.col("_least") < F.col("_doc")) & (F.col("n_bytes") >= length))
+    columns = [
+        F.col("_id").alias("doc_id"),
+        "n_bytes",
+        F.when(F.col("_all"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
+        F.when(F.col("_all"), F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
+        F.when(F.col("_all"), F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha256", F.lower(F.hex("_sha")))).alias("kept_sha256"),
+    ]
+    return out.select(*columns, *([F.when(F.col("_all"), F.encode(F.lit(""), "UTF-8")).otherwise(F.coalesce("kept", "_whole")).alias("kept")] if texts else []))
+
+
+def _different(found: DataFrame) -> DataFrame:
+    """(name, code, first, n, passage): the different passages of each name, with the least document of each."""
+    return found.groupBy("name", "code").agg(F.min("_doc").alias("first"), F.min("n").alias("n"), F.first("passage").alias("passage"))
