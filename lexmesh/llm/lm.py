@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,9 +17,14 @@ from lexmesh.llm.common import cut, text_of
 
 #: The word that ends a document; no real word is empty.
 END = b""
-#: Words of the model's own, most frequent first; the rest share one unknown symbol and are told apart by their counts.
-MODEL_WORDS = 2000
-#: Words whose counts are sent to every task (a bound, about 2 MB); counts of the others are joined.
+#: Words that are symbols of the model by themselves, most frequent first. Every other word is a symbol together with those
+#: whose ends hash alike, so that the network reads and predicts all of a text; within a symbol words share by their counts.
+MODEL_WORDS = 1100
+BINS = 344
+ENDING = 3
+#: Training tokens of a shard, and shards at most: what a task learns from follows from the documents' ids alone.
+SHARD_TOKENS, MAX_SHARDS = 4_000_000, 4096
+#: Words whose counts are sent to every task at most (about 2 MB); counts of the others are joined.
 SENT_WORDS = 60_000
 UNITS = 16
 LANES = 512
@@ -27,6 +33,8 @@ RATE = 0.01
 CLIP = 5.0
 #: Shares of the training documents in each round; between rounds the models of all tasks are averaged.
 ROUNDS = (0.1, 0.3, 0.6)
+#: Characters of the texts that a task sorts by length at a time.
+PART_CHARS = 1 << 24
 WEIGHT = 0.1
 
 
@@ -35,29 +43,70 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
+def bin_of(word: bytes) -> int:
+    """The shared symbol of a word, by its last letters."""
+    return zlib.crc32(word[-ENDING:]) % BINS
+
+
 @dataclass
 class Vocabulary:
-    """The words sent to every task: ids by falling count; the first ones are the model's, id 0 being the unknown symbol."""
+    """The words sent to every task: ids from 1 on by falling count. Symbols of the model: 0 to BINS - 1 are shared, the first words follow."""
 
     ids: dict[bytes, int]
     counts: np.ndarray  # of ids, [0] is what is not sent
     n: int  # tokens
     v: int  # distinct tokens
-    own: int  # words that the model may have
+    shared: np.ndarray  # (tokens, distinct tokens) of each shared symbol
+    own: int  # words that are symbols by themselves
 
     @property
     def size(self) -> int:
-        return min(len(self.ids), self.own) + 1
+        return BINS + min(len(self.ids), self.own)
+
+    @property
+    def end(self) -> int:
+        return self.symbol(END)
+
+    def symbol(self, word: bytes) -> int:
+        at = self.ids.get(word, 0)
+        return BINS + at - 1 if 0 < at <= self.own else bin_of(word)
 
     def counts_of_model(self) -> np.ndarray:
-        """Counts of the model's symbols, the unknown one first."""
-        own = self.counts[1 : self.size]
-        return np.array([self.n - own.sum(), *own], np.int64)
+        """Counts of the model's symbols."""
+        return np.concatenate([self.shared[:, 0], self.counts[1 : self.size - BINS + 1]])
+
+    def shares(self) -> np.ndarray:
+        """log10 of what (count + WEIGHT) sums to over the words of each symbol, its unseen words counting as one word; 0 for a word by itself."""
+        return np.append(np.log10(self.shared[:, 0] + WEIGHT * (self.shared[:, 1] + 1)), np.zeros(self.size - BINS))
+
+
+class Known(dict):
+    """id * 65536 + symbol of the words met lately."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        super().__init__()
+        self.vocabulary = vocabulary
 
-    def rest(self) -> float:
-        """What (count + WEIGHT) sums to over all words that the model does not know, unseen ones counting as one word."""
-        own = self.counts[1 : self.size]
-        return float((self.n - own.sum()) + WEIGHT * (self.v - len(own) + 1))
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        got = self[word] = self.vocabulary.ids.get(word, 0) << 16 | self.vocabulary.symbol(word)
+        return got
+
+    def read(self, text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The tokens, their ids and their symbols."""
+        own = [*words(text), END]
+        both = np.array(list(map(self.__getitem__, own)), np.int64)
+        return own, (both >> 16).astype(np.int32), (both & 0xFFFF).astype(np.int32)
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """Of an array that is given up."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Model:
@@ -101,12 +150,16 @@ class Model:
         gx = (gx + p["b"]).reshape(steps, lanes, 3 * n)
         hs = np.empty((steps, lanes, n), np.float32)
         keep = []
+        starts = fresh.any(axis=1)
         for t in range(steps):
-            h = h * (1 - fresh[t])[:, None]
+            if starts[t]:
+                h = h * (1 - fresh[t])[:, None]
             gh = h @ p["Wh"]
-            zr = 1 / (1 + np.exp(-(gx[t, :, : 2 * n] + gh[:, : 2 * n])))
+            zr = sigmoid(gx[t, :, : 2 * n] + gh[:, : 2 * n])
             z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(gx[t, :, 2 * n :] + r * gh[:, 2 * n :])
+            c = r * gh[:, 2 * n :]
+            c += gx[t, :, 2 * n :]
+            c = 2 * sigmoid(2 * c) - 1  # tanh
             before = h
             h = c + z * (before - c)
             hs[t] = h
@@ -116,9 +169,9 @@ class Model:
         ho, want = hs.reshape(-1, n)[where], y.ravel()[where]
         cls, inner = want // self.width, want % self.width
         logit = ho @ p["Wc"] + p["bc"]
-        logit -= logit.max(axis=1, keepdims=True)
+        logit -= logit.max(initial=-1e30)  # one shift for all rows: their largest numbers are much closer than a float's range
         soft = np.exp(logit)
-        total = soft.sum(axis=1)
+        total = np.maximum(soft @ np.ones(self.classes, np.float32), np.float32(1e-37))
         at = np.arange(len(want))
         logp = logit[at, cls] - np.log(total)
         order = np.argsort(cls, kind="stable")
@@ -129,6 +182,7 @@ class Model:
             soft[at, cls] -= 1
             grads["Wc"], grads["bc"] = ho.T @ soft, soft.sum(axis=0)
             dh = soft @ p["Wc"].T
+        ones = np.ones(self.width, np.float32)
         for k in range(self.classes):
             own = order[bound[k] : bound[k + 1]]
             if not len(own):
@@ -136,9 +190,9 @@ class Model:
             part = slice(k * self.width, (k + 1) * self.width)
             hk = ho[own]
             lk = hk @ p["Wo"][part].T + p["bo"][part]
-            lk -= lk.max(axis=1, keepdims=True)
+            lk -= lk.max()
             ek = np.exp(lk)
-            sk, ik = ek.sum(axis=1), (np.arange(len(own)), inner[own])
+            sk, ik = np.maximum(ek @ ones, np.float32(1e-37)), (at[: len(own)], inner[own])
             logp[own] += lk[ik] - np.log(sk)
             if learn:
                 ek /= sk[:, None]
@@ -153,7 +207,7 @@ class Model:
             dhs[where] = dh * scale
             dhs = dhs.reshape(steps, lanes, n)
             dgx = np.empty((steps, lanes, 3 * n), np.float32)
-            back = np.zeros((lanes, n), np.float32)
+            back, dgh = np.zeros((lanes, n), np.float32), np.empty((lanes, 3 * n), np.float32)
             for t in reversed(range(steps)):
                 before, z, r, c, ghc = keep[t]
                 d = dhs[t] + back
@@ -161,9 +215,11 @@ class Model:
                 dc = d * (1 - z) * (1 - c * c)
                 dr = dc * ghc * r * (1 - r)
                 dgx[t, :, :n], dgx[t, :, n : 2 * n], dgx[t, :, 2 * n :] = dz, dr, dc
-                dgh = np.concatenate([dz, dr, dc * r], axis=1)
+                dgh[:, :n], dgh[:, n : 2 * n], dgh[:, 2 * n :] = dz, dr, dc * r
                 grads["Wh"] += before.T @ dgh
-                back = (d * z + dgh @ p["Wh"].T) * (1 - fresh[t])[:, None]
+                back = d * z + dgh @ p["Wh"].T
+                if starts[t]:
+                    back *= (1 - fresh[t])[:, None]
             flat = dgx.reshape(-1, 3 * n)
             grads["Wx"], grads["b"] = xe.reshape(-1, n).T @ flat, flat.sum(axis=0)
             dx = flat @ p["Wx"].T
@@ -277,92 +333,124 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_words(train_rows: DataFrame) -> tuple[DataFrame, Vocabulary]:
-    """(word, n) over all training documents, and the vocabulary that goes to every task."""
-    counts = cut(train_rows.select("_t").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    row = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(SENT_WORDS).collect()
-    ids = {bytes(r["word"]): i for i, r in enumerate(top, 1)}
-    return counts, Vocabulary(ids, np.array([0, *(r["n"] for r in top)], np.int64), row["n"] or 0, row["v"], MODEL_WORDS)
+    """(word, n) over all training documents, and the vocabulary that goes to every task.
 
-
-def _ids(vocabulary: Vocabulary, text: str) -> np.ndarray:
-    get, size = vocabulary.ids.get, vocabulary.size
-    ids = np.array([get(w, 0) for w in words(text)] + [get(END, 0)], np.int32)
-    ids[ids >= size] = 0
-    return ids
+    The driver gets a histogram of at most some thousand rows, the BINS sums of the shared symbols, and the words of a
+    count that SENT_WORDS words at most reach; words of the next lower class of counts are joined like all rarer ones.
+    """
+    counts = cut(train_rows.select("_t").mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    level = F.floor(F.log2(F.col("n").cast("double")) * 32).cast("int")
+    levels = counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).collect()
+    least, held = 1 << 30, 0
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        held += r["v"]
+        if held > SENT_WORDS:
+            break
+        least = r["level"]
+    top = sorted(((r["n"], bytes(r["word"])) for r in counts.filter(level >= least).collect()), key=lambda r: (-r[0], r[1]))
+    ids = {w: i for i, (_, w) in enumerate(top, 1)}
+    shared = np.zeros((BINS, 2))
+    ending = F.expr(f"pmod(crc32(substring(word, greatest(1, octet_length(word) - {ENDING - 1}), {ENDING})), {BINS})").cast("int")
+    for r in counts.groupBy(ending.alias("b")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        shared[r["b"]] = r["n"], r["v"]
+    for n, w in top[:MODEL_WORDS]:  # these are symbols by themselves
+        shared[bin_of(w)] -= n, 1
+    return counts, Vocabulary(ids, np.array([0, *(n for n, _ in top)], np.int64), sum(r["n"] for r in levels), sum(r["v"] for r in levels), shared, MODEL_WORDS)
 
 
 def _train(shared, flat: np.ndarray):
+    """An Arrow function that learns from the texts of (_shard, _t), a shard's rows together; longer texts of a part begin first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = shared.value
-        model = Model(vocabulary.size).load(flat)
-        seen = train(model, ((None, _ids(vocabulary, t)) for b in batches for t in sorted(b["_t"].to_pylist(), key=len, reverse=True)), vocabulary.ids.get(END, 0))
-        if seen:
-            yield _weighed(seen, model.flat().astype(np.float64) * seen)
+        known, model, shard, seen = Known(vocabulary), None, None, 0
+        texts, size = [], 0
+
+        def learn() -> int:
+            symbols = ((None, known.read(t)[2]) for t in sorted(texts, key=len, reverse=True))
+            return train(model, symbols, vocabulary.end)
+
+        for batch in batches:
+            for own, text in zip(batch["_shard"].to_pylist(), batch["_t"].to_pylist(), strict=True):
+                if texts and (own != shard or size > PART_CHARS):
+                    seen += learn()
+                    texts, size = [], 0
+                if own != shard:
+                    if seen:
+                        yield _weighed(shard, seen, model.flat().astype(np.float64) * seen)
+                    model, shard, seen = Model(vocabulary.size).load(flat), own, 0
+                texts.append(text)
+                size += len(text)
+        if texts:
+            seen += learn()
+            yield _weighed(shard, seen, model.flat().astype(np.float64) * seen)
 
     return run
 
 
-def _weighed(seen: int, total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["seen", "total"])
+def _weighed(shard: int, seen: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([seen], pa.int64()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["shard", "seen", "total"])
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen, total = 0, None
+    """Sums of the rows, which come in order of shard."""
+    first, seen, total = 0, 0, None
     for batch in batches:
-        for n, raw in zip(batch["seen"].to_pylist(), batch["total"].to_pylist(), strict=True):
+        for shard, n, raw in zip(*(batch[c].to_pylist() for c in ("shard", "seen", "total")), strict=True):
             part = np.frombuffer(raw, np.float32).astype(np.float64)
+            first = shard if total is None else first
             seen, total = seen + n, part if total is None else total + part
     if seen:
-        yield _weighed(seen, total)
+        yield _weighed(first, seen, total)
 
 
 def fit(train_rows: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
-    """The model's parameters after one pass over all training documents (_t, _round in [0, 1)).
+    """The model's parameters after one pass over all training documents (_id, _t, _round in [0, 1), _crc).
 
-    Each round takes its share of the documents; every task learns from its part starting at the same parameters, and the
-    results are averaged by tokens: sums of a square root of the tasks each, then of those, one row to the driver.
+    Documents are dealt to shards by the crc32 of their ids, their number following from the tokens. Each round takes its
+    share of the documents; every shard is learnt from in order of (id, text) starting at the same parameters, and the
+    results are averaged by tokens: sums of a square root of the shards each, then of those, one row to the driver. So
+    the result is the same however the table is partitioned.
     """
     spark = train_rows.sparkSession
     flat, low = Model(vocabulary.size).start(vocabulary.counts_of_model()).flat(), 0.0
     shared = spark.sparkContext.broadcast(vocabulary)
+    shards = max(1, min(MAX_SHARDS, -(-vocabulary.n // SHARD_TOKENS)))
+    groups, kinds = max(1, math.isqrt(shards)), "shard long, seen long, total binary"
     for share in ROUNDS:
-        part = train_rows.filter((F.col("_round") >= low) & (F.col("_round") < low + share + 1e-9)).select("_t")
+        part = train_rows.filter((F.col("_round") >= low) & (F.col("_round") < low + share + 1e-9)).select((F.floor(F.col("_crc") / 10000) % shards).alias("_shard"), "_id", "_t")
         low += share
-        models = part.mapInArrow(_train(shared, flat), "seen long, total binary")
-        groups = max(1, math.isqrt(models.rdd.getNumPartitions()))
-        got = models.repartition(groups).mapInArrow(_add, "seen long, total binary").repartition(1).mapInArrow(_add, "seen long, total binary").collect()
+        models = part.repartition(shards, "_shard").sortWithinPartitions("_shard", "_id", "_t").select("_shard", "_t").mapInArrow(_train(shared, flat), kinds)
+        models = models.repartition(groups, F.col("shard") % groups).sortWithinPartitions("shard").mapInArrow(_add, kinds)
+        got = models.repartition(1).sortWithinPartitions("shard").mapInArrow(_add, kinds).collect()
         if got:
             flat = (np.frombuffer(got[0]["total"], np.float32) / got[0]["seen"]).astype(np.float32)
     return flat
 
 
-OUT = pa.schema([("_rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_sent", pa.int64()), ("base_sent", pa.float64()), ("model", pa.float64()), ("n_unknown", pa.int64()), ("other_sent", pa.float64()), ("rare", pa.list_(pa.binary()))])
+OUT = pa.schema([("_rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_sent", pa.int64()), ("base_sent", pa.float64()), ("model", pa.float64()), ("rare", pa.list_(pa.binary()))])
 
 
 def _score(shared, flat: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = shared.value
-        model, get, size = Model(vocabulary.size).load(flat), vocabulary.ids.get, vocabulary.size
-        logs = np.log10(vocabulary.counts + WEIGHT)
+        model, known = Model(vocabulary.size).load(flat), Known(vocabulary)
+        logs, shares = np.log10(vocabulary.counts + WEIGHT), vocabulary.shares()
 
         def docs():
             for b in batches:
                 rows = zip(*(b[c].to_pylist() for c in ("_rid", "_id", "held_out", "_t")), strict=True)
                 for rid, doc, out, text in sorted(rows, key=lambda r: len(r[3]), reverse=True):  # long texts begin first
-                    own = words(text)
-                    ids = np.array([get(w, 0) for w in own] + [get(END, 0)], np.int32)
+                    own, ids, symbols = known.read(text)
                     sent = ids > 0
-                    rare = [w for w, i in zip(own, ids.tolist(), strict=False) if not i]
-                    if not sent[-1]:
-                        rare.append(END)
-                    unknown = ids >= size
-                    row = [rid, doc, out, len(ids), int(sent.sum()), float(logs[ids[sent]].sum()), 0.0, int(unknown.sum()) + int((~sent).sum()), float(logs[ids[unknown]].sum()), rare]
-                    yield row, np.where(unknown, 0, ids).astype(np.int32)
+                    # Words of a shared symbol have its probability times their share; counts of those not sent are joined later.
+                    inside = logs[ids[sent & (symbols < BINS)]].sum() - shares[symbols].sum()
+                    row = [rid, doc, out, len(ids), int(sent.sum()), float(logs[ids[sent]].sum()), float(inside), [own[k] for k in np.flatnonzero(~sent).tolist()]]
+                    yield row, symbols
 
         held, n = [], 0
-        for row, s in score(model, docs(), vocabulary.ids.get(END, 0) if vocabulary.ids.get(END, 0) < size else 0):
-            row[6] = s
+        for row, s in score(model, docs(), vocabulary.end):
+            row[6] += s
             held.append(row)
             n += row[3]
             if n > 1_000_000:
@@ -377,24 +465,24 @@ def _score(shared, flat: np.ndarray):
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs.
 
-    score: the model's log10 probability of the whole text; a word outside the model's vocabulary has the unknown
-    symbol's probability times its share (count + 0.1) among such words. A document is held out if crc32 of its id as
+    score: the model's log10 probability of the whole text; a word of a shared symbol has the symbol's probability times
+    its share (count + 0.1) among the symbol's words, unseen ones counting as one. A document is held out if crc32 of its id as
     text is divisible by 10; a null id counts as the empty text (crc32 0), so it is held out. Null and empty texts are
     the end token alone. Repeated rows each count and each give a row. Without training documents both scores rest on
     counts of zero. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     crc = F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(doc_id).cast("long").alias("_id"), (crc % 10 == 0).alias("held_out"), (F.pmod(F.floor(crc / 10), F.lit(1000)) / 1000).alias("_round"), text_of(text).alias("_t"))
+    rows = docs.select(F.monotonically_increasing_id().alias("_rid"), F.col(doc_id).cast("long").alias("_id"), (crc % 10 == 0).alias("held_out"), (F.pmod(F.floor(crc / 10), F.lit(1000)) / 1000).alias("_round"), crc.alias("_crc"), text_of(text).alias("_t"))
     counts, vocabulary = count_words(rows.filter("not held_out"))
     flat = fit(rows.filter("not held_out"), vocabulary)
-    scored = cut(rows.select("_rid", "_id", "held_out", "_t").mapInArrow(_score(spark.sparkContext.broadcast(vocabulary), flat), "_rid long, doc_id long, held_out boolean, n_tokens long, n_sent long, base_sent double, model double, n_unknown long, other_sent double, rare array<binary>"), "scored")
+    scored = cut(rows.select("_rid", "_id", "held_out", "_t").mapInArrow(_score(spark.sparkContext.broadcast(vocabulary), flat), "_rid long, doc_id long, held_out boolean, n_tokens long, n_sent long, base_sent double, model double, rare array<binary>"), "scored")
     rare = scored.select("_rid", F.explode("rare").alias("word")).groupBy("word", "_rid").count()
     c = F.coalesce("n", F.lit(0))
     tail = rare.join(counts, "word", "left").groupBy("_rid").agg(F.sum(F.col("count") * F.log10(c + WEIGHT)).alias("rare_sum"), F.sum(F.when(c > 0, F.col("count")).otherwise(0)).alias("rare_known"))
     out = scored.drop("rare").join(tail, "_rid", "left")
     rare_sum = F.coalesce("rare_sum", F.lit(0.0))
-    below, share = math.log10(vocabulary.n + WEIGHT * (vocabulary.v + 1)), math.log10(vocabulary.rest())
+    below = math.log10(vocabulary.n + WEIGHT * (vocabulary.v + 1))
     return out.select(
         "doc_id",
         "held_out",
@@ -402,5 +490,5 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         (F.col("n_sent") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(vocabulary.n).cast("long").alias("train_tokens"),
         (F.col("base_sent") + rare_sum - F.col("n_tokens") * below).alias("base_score"),
-        (F.col("model") + F.col("other_sent") + rare_sum - F.col("n_unknown") * share).alias("score"),
+        (F.col("model") + rare_sum).alias("score"),
     )

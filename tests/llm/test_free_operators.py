@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import os
 import random
 import re
 import zlib
@@ -310,6 +311,31 @@ def test_scores(spark, docs, monkeypatch):
     assert only.train_tokens == 0 and only.n_known == 0 and abs(only.base_score) < 1e-9
 
 
+def test_scores_do_not_depend_on_partitions(spark, docs, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 1000)
+    scores = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.score) for r in lm.score_documents(df).collect())
+    one, other = scores(docs.coalesce(1)), scores(docs.repartition(5, "text"))
+    assert len(one) == len(other) and all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-3 * abs(a[3]) for a, b in zip(one, other, strict=True))
+
+
+def test_shared_symbols_sum_to_one():
+    counts = Counter({w.encode(): n for n, w in enumerate(("ending", "bending", "sending", "x", "yx", "", "one"), 1)})
+    shared = np.zeros((lm.BINS, 2))
+    for w, n in list(counts.items())[2:]:
+        shared[lm.bin_of(w)] += n, 1
+    v = lm.Vocabulary({w: i for i, w in enumerate(list(counts)[:2], 1)}, np.array([0, 1, 2]), sum(counts.values()), len(counts), shared, 2)
+    assert v.size == lm.BINS + 2 and v.counts_of_model().sum() == v.n and v.symbol(b"ending") == lm.BINS and v.end == lm.bin_of(b"")
+    for b in {lm.bin_of(w) for w in list(counts)[2:]}:
+        inside = [n for w, n in list(counts.items())[2:] if lm.bin_of(w) == b]
+        assert abs(sum((n + lm.WEIGHT) / 10 ** v.shares()[b] for n in [*inside, 0]) - 1) < 1e-9
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_held_out_documents_are_likelier_than_by_counts(spark):
+    rows = [r for r in lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect() if r.held_out]
+    assert sum(r.score for r in rows) > 0.97 * sum(r.base_score for r in rows)
+
+
 def test_model_beats_counts_on_held_out_text(spark):
     """Text in which the next word follows from the last."""
     rng = random.Random(0)
