@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from lexmesh.operators.explain import explain_match
 from lexmesh.operators.fuzzyindex import FuzzyIndex
 from lexmesh.operators.index import Options, index_batch
 from lexmesh.operators.search import match_hashes, query_terms, search
-from lexmesh.sources.storage import settle
+from lexmesh.sources.storage import fresh_folder, settle
 from lexmesh.streaming.ingest import ingest
 
 VOCABULARY = ("dget", "iz", "ol", "ar", "la", "wi", "e")
@@ -85,16 +83,25 @@ def subword_expand(spark, sf_dir):
 
 
 def transliterate_words(spark, sf_dir):
-    return document_words(spark, sf_dir).filter(F.col("word").rlike("^[A-Za-zÀ-ÖØ-öø-ÿ]+$")).select("word").distinct().select("word", transliterate(F.col("word"), icu_table(spark)).alias("ascii"))
+    """Every distinct word of whatever script."""
+    return document_words(spark, sf_dir).select("word").distinct().select("word", transliterate(F.col("word"), icu_table(spark)).alias("ascii"))
+
+
+def _normal_words(spark, sf_dir) -> DataFrame:
+    """(word, term) of the distinct words that aren't rejected: each is normalised once."""
+    return document_words(spark, sf_dir).select("word").distinct().select("word", normalize_term(F.col("word")).alias("term")).filter("term IS NOT NULL")
 
 
 def unigram_histogram(spark, sf_dir):
-    terms = document_words(spark, sf_dir).select(normalize_term(F.col("word")).alias("term")).filter("term RLIKE '^[a-zà-öø-ÿ]'").distinct()
+    """Distinct terms by block, all scripts; terms without a block apart (empty)."""
+    terms = _normal_words(spark, sf_dir).select("term").distinct()
     return terms.groupBy(unigram(F.col("term"), icu_table(spark)).alias("unigram")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def term_document_frequency(spark, sf_dir):
-    return document_words(spark, sf_dir).select("doc_id", normalize_term(F.col("word")).alias("term")).filter("term IS NOT NULL").groupBy("term").agg(F.count_distinct("doc_id").alias("df"))
+    seen = document_words(spark, sf_dir).distinct()
+    met = seen.join(_normal_words(spark, sf_dir).withColumnRenamed("word", "_word"), F.col("word") == F.col("_word")).select("doc_id", "term").distinct()
+    return met.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def posting_sets(spark, sf_dir):
@@ -187,7 +194,7 @@ def json_round_trip(spark, sf_dir):
     index = FuzzyIndex(spark, options=Options())
     index.update_many(parts(spark, sf_dir))
     index.invalidate(7)
-    path = f"{tempfile.mkdtemp(prefix='lexmesh-json-')}/index"
+    path = fresh_folder(spark, "index-json")
     index.save(path)
     other = FuzzyIndex(spark, file_path=path, options=Options())
     return other.postings.unionByName(other.invalid.select(F.lit("invalid").alias("hash_key"), "key"))
@@ -205,7 +212,7 @@ def streaming_ingest(spark, sf_dir):
     index = FuzzyIndex(spark, options=Options())
     source = _table(spark, sf_dir, "part")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "part*.parquet").parquet(sf_dir)
-    ingest(stream.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("text")), index, tempfile.mkdtemp(prefix="lexmesh-stream-")).awaitTermination()
+    ingest(stream.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("text")), index, fresh_folder(spark, "stream")).awaitTermination()
     return index.postings.select("hash_key", "key")
 
 
@@ -342,8 +349,6 @@ def oracle_sql() -> dict[str, str]:
         "augment_template": f"WITH {_PART_WORDS} SELECT word, {_AUGMENT} AS augmented FROM words",
         "url_tokens": f"SELECT page_id, (unnest(range(0, len(ws))))::INT AS pos, unnest(ws) AS word FROM (SELECT page_id, {SPLIT.format('url')} AS ws FROM pages)",
         "subword_expand": f"WITH {_PART_WORDS}{_subword_sql()}",
-        "transliterate_words": f"{words} SELECT DISTINCT word, strip_accents(replace(word, 'ß', 'ss')) AS ascii FROM doc_words WHERE regexp_matches(word, '^[A-Za-zÀ-ÖØ-öø-ÿ]+$')",
-        "unigram_histogram": f"{words}, w AS (SELECT DISTINCT {_NORM} AS term FROM doc_words) SELECT left(strip_accents(replace(term[1], 'ß', 'ss')), 1) AS unigram, count(*)::BIGINT AS n FROM w WHERE regexp_matches(term, '^[a-zà-öø-ÿ]') GROUP BY 1",
         "term_document_frequency": f"{words}, w AS (SELECT DISTINCT doc_id, {_NORM} AS term FROM doc_words) SELECT term, count(*)::BIGINT AS df FROM w WHERE term IS NOT NULL GROUP BY term",
         "posting_sets": f"{postings} SELECT hash || h.word[1] AS hash_key, count(DISTINCT key)::BIGINT AS n_keys, sum(DISTINCT key)::BIGINT AS sum_keys FROM t JOIN h ON t.word = h.word GROUP BY 1",
         "first_seen_order": f"{many} SELECT hash || h.word[1] AS hash_key, seen // 1000 AS doc, (seen % 1000)::INT AS pos FROM f JOIN h ON f.word = h.word",

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmesh.functions.text import check_vocabulary
@@ -15,17 +15,24 @@ INDEX_JSON = "map<string,struct<hash2ix:map<string,array<bigint>>,invalid_indice
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a local folder where it is unset (tests)."""
+    """spark.checkpoint.dir. Where it is unset a local folder serves a local master (tests); on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lexmesh.folder", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="lexmesh-index-")
         spark.conf.set("lexmesh.folder", found)
     return found.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, so that its lineage ends there."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -38,9 +45,9 @@ def read_vocabulary(spark: SparkSession, path: str) -> list[str]:
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """(key, text): the names of the files below a folder, keys by name order."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select(F.element_at(F.split("path", "/"), -1).alias("text"))
-    return files.select(F.xxhash64("text").alias("key"), "text")
+    """(key, text): the names of the files below a folder, keys from 0 by name, equal names by path. Names alone are sorted by one task."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path).select(F.element_at(F.split("path", "/"), -1).alias("text"), "path")
+    return files.select((F.row_number().over(Window.orderBy("text", "path")) - 1).cast("long").alias("key"), "text")
 
 
 def write_json(name: str, postings: DataFrame, hashes: DataFrame, invalid: DataFrame, path: str) -> None:

@@ -2,12 +2,14 @@
 
 import os
 import random
+from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexmesh.functions.distance import digest_distance, hash_parts, parts_distance
-from lexmesh.functions.tlsh import Cells, checked, default_permutation, hash_bytes, length_code, quartiles, read_permutation, tlsh_hash
+from lexmesh.functions.tlsh import Selection, checked, default_permutation, hash_bytes, length_code, quartiles, read_permutation, tlsh_hash
 from tests.test_text import plain_augment
 
 KNOWN = {
@@ -59,7 +61,7 @@ def test_batches_equal_single_texts():
     texts = [bytes(random.randrange(256) for _ in range(random.choice([0, 3, 5, 50, 140, 700, 3300]))) for _ in range(40)]
     for text, (valid, got) in zip(texts, hash_bytes(texts), strict=True):
         counts, check = naive_counts(text, table)
-        q = quartiles(counts[:128])
+        q = plain_quartiles(counts[:128])
         cells = "".join(f"{sum((sum(counts[4 * i + j] > x for x in sorted(q))) << 2 * j for j in range(4)):02X}" for i in range(31, -1, -1)) if list(q) == sorted(q) else got[6:]
         swap = lambda b: f"{b & 15:X}{b >> 4:X}"
         head = swap(check) + swap(length_code(max(1, len(text)))) + f"{q[0] * 100 // max(1, q[2]) % 16:X}{q[1] * 100 // max(1, q[2]) % 16:X}"
@@ -67,11 +69,62 @@ def test_batches_equal_single_texts():
         assert valid == (sum(c > 0 for c in counts[:128]) > 64)
 
 
-def test_lossy_split_doubles_the_pivot():
-    cells = Cells([3, 1, 2, 5, 4])
-    assert cells.split(0, 4) == 1
-    assert cells.x == [1, 2, 2, 5, 3]  # the last 4 is gone, the 2 is there twice
-    assert quartiles(list(range(128)), exact=True) == (31, 63, 95)
+def plain_split(x, lo, hi):
+    """A range as a new list: smaller values, the pivot, the others as a queue that has turned once for each smaller value after its first."""
+    if hi - lo < 2:
+        x[lo : hi + 1] = sorted(x[lo : hi + 1])
+        return lo
+    pivot, small, queue = x[(lo + hi) // 2], [], deque()
+    for v in x[lo:hi]:
+        if v < pivot:
+            small.append(v)
+            queue.rotate(-1)
+        else:
+            queue.append(v)
+    queue.rotate(-1)
+    x[lo : hi + 1] = [*small, pivot, *queue]
+    return lo + len(small)
+
+
+def plain_quartiles(counts):
+    x = list(counts)
+
+    def settle(place, lo, hi):
+        low, high = [], 0
+        while (at := plain_split(x, lo, hi)) != place:
+            if at < place:
+                low.append(at)
+                lo = at + 1
+            else:
+                high += 1
+                hi = at - 1
+        return lo, low, high
+
+    _, low, high = settle(63, 0, 127)
+    q2, ends = x[63], [*low, 62, *[0] * 130]
+    ends[high] = 64
+    lo, q1 = 0, 0
+    for end in ends[: len(low) + 1]:
+        if end > 31:
+            lo = settle(31, lo, end)[0]
+        if end >= 31:
+            q1 = x[31]
+        if end == 31:
+            break
+        if end < 31:
+            lo = end
+    settle(95, ends[0], 127)
+    return [q1, q2, x[95]]
+
+
+def test_lossy_selection():
+    pick = Selection(np.array([[3, 1, 2, 5, 4], [1, 2, 0, 9, 9]]))
+    assert pick.split(np.arange(2), np.array([0, 1]), np.array([4, 2])).tolist() == [1, 1]
+    assert pick.x.tolist() == [[1, 2, 2, 5, 3], [1, 0, 2, 9, 9]]  # the last 4 is gone, the 2 is there twice
+    rng = np.random.default_rng(2)
+    rows = np.concatenate([rng.poisson(rng.choice([0.5, 2, 6, 40], (600, 1)), (600, 128)), np.arange(128)[None, :], np.arange(128)[None, ::-1], np.zeros((1, 128), int)])
+    assert quartiles(rows).tolist() == [plain_quartiles(r) for r in rows.tolist()]
+    assert quartiles(np.arange(128)[None, :], exact=True).tolist() == [[31, 63, 95]]
 
 
 def test_table_is_checked():

@@ -1,9 +1,11 @@
 """Every keyword query at the smallest scale against its SQL, and the entry point with and without the training-data part."""
 
 import os
+import re
 import shutil
 import subprocess
 import sys
+import unicodedata
 
 import duckdb
 import pytest
@@ -32,6 +34,21 @@ def test_query(spark, duck, name):
     assert sorted(repr(sorted(r.asDict().items())) for r in got.collect()) == want and want
 
 
+def test_transliteration_of_all_scripts(spark, tmp_path):
+    """Words of several scripts, digits and signs; Latin ones agree with their decomposition, blocks with the first ASCII letter."""
+    text = "Élan straße 北京 Москва Ωmega naïve 42nd ひらがな 한글 (quoted) don't Œuvre"
+    rows = [(1, text), (2, "élan " + text.upper()), (3, None), (4, ""), (5, " \n ")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.word: r.ascii for r in keyword.transliterate_words(spark, str(tmp_path)).collect()}
+    assert set(got) == {w for _, t in rows for w in re.split(r"[ _.:/\\-]+", t or "") if w}
+    assert all(a.isascii() for a in got.values()) and got["北京"] and got["한글"] and got["ひらがな"]
+    for w in ("Élan", "naïve", "42nd", "(quoted)", "don't"):
+        assert got[w] == unicodedata.normalize("NFD", w).encode("ascii", "ignore").decode()
+    assert (got["straße"], got["Œuvre"].lower()[:2], got["Москва"][0], got["Ωmega"][-4:]) == ("strasse", "oe", "M", "mega")
+    blocks = {r.unigram: r.n for r in keyword.unigram_histogram(spark, str(tmp_path)).collect()}
+    assert blocks["4"] == 1 and blocks["e"] >= 1 and blocks["d"] == 1 and blocks["q"] == 1 and all(len(u) <= 1 for u in blocks)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
