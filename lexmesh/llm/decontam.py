@@ -9,8 +9,8 @@ from lexmesh.llm.common import broadcast_if_small, cut, text_of, words_of
 
 SHINGLE = 5
 CONTAINMENT_PERCENT = 80
-#: Sketch rows of 8-byte hashes and ids that one broadcast may hold; a larger benchmark joins by shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
+#: Bytes of the items' shingles (their texts' length, and 40 for each row's frame) that a broadcast may hold; a larger benchmark joins by shuffle.
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 def shingles(words: str, build) -> Column:
@@ -51,9 +51,10 @@ def contained_items(rows: DataFrame, items: DataFrame) -> DataFrame:
     """
     prepared = lambda df: df.withColumn("_w", words_of(F.lower("_t"))).drop("_t")
     sketches, exact = item_sketches(prepared(items))
-    small = exact.count() <= MAX_BROADCAST_ROWS
+    small = (exact.agg(F.sum(F.octet_length("_shingle") + 40)).first()[0] or 0) <= MAX_BROADCAST_BYTES
     hint = F.broadcast if small else (lambda x: x)
-    probe = prepared(rows).select("_rid", F.explode(hashes("_w")).alias("_h"))
+    # Each row's different shingles only; without a broadcast, a shingle that very many rows have is a skewed join that Spark splits.
+    probe = prepared(rows).select("_rid", F.explode(F.array_distinct(hashes("_w")) if not small else hashes("_w")).alias("_h"))
     found = cut(probe.join(hint(sketches), "_h").select("_rid", "_iid").distinct(), "candidates")
     # Only candidates' texts are read again, and only their shingles go out of the row.
     texts = rows.join(found.select("_rid").distinct(), "_rid").withColumn("_w", words_of(F.lower("_t")))
@@ -72,17 +73,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
     Words are lower-cased; shingles are five words, and an item of fewer words is one shingle, found in documents
     of just those words. Nulls and empty texts contain nothing and are contained nowhere. Repeated rows give a pair
-    each; benchmark rows that repeat count once, rows of one id with different texts are items of their own. Empty tables
-    give no pairs. Other columns are not read.
+    each; benchmark rows that repeat count once, rows of one id, or of none (null), with different texts are items of
+    their own. Empty tables give no pairs. Other columns are not read.
     """
-    items = benchmark.select(F.col(item_id).alias("_item"), text_of(item_text).alias("_t")).filter(F.col("_item").isNotNull())
+    items = benchmark.select(F.col(item_id).alias("_item"), text_of(item_text).alias("_t"))
     found = contained_items(keyed(docs, doc_id, text_of(text).alias("_t")), items)
     return found.select(F.col("_doc").alias("doc_id"), F.col("_item").alias("item_id"), "n_item", "n_shared")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs that contain no benchmark item, with all their columns."""
-    items = benchmark.select(F.col(item_id).alias("_item"), text_of(item_text).alias("_t")).filter(F.col("_item").isNotNull())
+    """The rows of docs that contain no benchmark item, with all their columns.
+
+    Items count whatever their id, a null one included. Rows with null or empty texts contain nothing and stay, as does
+    every row if the benchmark is empty. Rows that repeat are judged alike. Columns may have any names: rows travel as one
+    struct.
+    """
+    items = benchmark.select(F.col(item_id).alias("_item"), text_of(item_text).alias("_t"))
     rows = keyed(docs, doc_id, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     bad = contained_items(rows.select("_rid", "_doc", text_of(F.col(f"_row.`{text}`")).alias("_t")), items).select("_rid").distinct()
     bad = broadcast_if_small(cut(bad, "leaks"))
@@ -91,10 +97,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
 
 ORACLE = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE text IS NOT NULL),
-b AS (SELECT item_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+b AS (SELECT item_id, w, row_number() OVER () AS iid FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark WHERE text IS NOT NULL)),
 ds AS (SELECT DISTINCT doc_id, array_to_string(w[p:p+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM d WHERE len(w) > 0)),
-bs AS (SELECT DISTINCT item_id, array_to_string(w[p:p+4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM b WHERE len(w) > 0)),
-n AS (SELECT item_id, count(*)::BIGINT AS n_item FROM bs GROUP BY item_id),
-m AS (SELECT ds.doc_id, bs.item_id, count(*)::BIGINT AS n_shared FROM ds JOIN bs ON ds.s = bs.s GROUP BY ds.doc_id, bs.item_id)
-SELECT doc_id, m.item_id AS item_id, n_item, n_shared FROM m JOIN n ON m.item_id = n.item_id WHERE 100 * n_shared >= {CONTAINMENT_PERCENT} * n_item
+bs AS (SELECT DISTINCT iid, item_id, array_to_string(w[p:p+4], ' ') AS s FROM (SELECT iid, item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS p FROM b WHERE len(w) > 0)),
+n AS (SELECT iid, count(*)::BIGINT AS n_item FROM bs GROUP BY iid),
+m AS (SELECT ds.doc_id, bs.iid, bs.item_id, count(*)::BIGINT AS n_shared FROM ds JOIN bs ON ds.s = bs.s GROUP BY ds.doc_id, bs.iid, bs.item_id)
+SELECT doc_id, m.item_id AS item_id, n_item, n_shared FROM m JOIN n ON m.iid = n.iid WHERE 100 * n_shared >= {CONTAINMENT_PERCENT} * n_item
 """

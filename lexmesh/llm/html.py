@@ -27,12 +27,13 @@ BLOCK = frozenset("address article aside blockquote body caption center dd detai
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of BLOCK ends an open p; these also end an open element of their kind, up to the list or table around it.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words in class or id that name what is not main text.
+#: Words in class or id that name what is not main text, alone or together with each other and with words of place and form.
 MARKED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adslot banner banners breadcrumb breadcrumbs comment comments commentlist respond disqus discussion "
-    "cookie cookies consent gdpr notice notices notification alert footer header masthead menu nav navbar navigation sidebar side-bar aside widget widgets related recommended "
+    "cookie cookies consent gdpr notice notices notification alert footer header masthead menu nav navbar navigation sidebar aside widget widgets related recommended "
     "share sharing social subscribe subscription newsletter popup modal overlay promo promotion sponsor sponsored signup login search toolbar pager pagination skip".split()
 )
+BESIDE = frozenset("site page main global top bottom left right side upper lower primary secondary list area box bar wrapper wrap container block section inner outer item items link links button buttons icon icons form slot unit posts articles stories".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)""", re.S)
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -98,6 +99,15 @@ def _closed(here: Node, kinds: set[str], walls: set[str]) -> Node:
     return out
 
 
+def marked(value: str) -> bool:
+    """Whether a class or id names what is not main text: its parts at hyphens are all MARKED or BESIDE words, one MARKED.
+
+    So cookie-notice and site-footer count, has-sidebar, entry-header, job-search and social-science don't.
+    """
+    parts = [p for p in re.split(r"[-_]+", value) if p and not p.isdigit()]
+    return any(p in MARKED for p in parts) and all(p in MARKED or p in BESIDE for p in parts)
+
+
 def unwanted(node: Node, in_article: bool) -> bool:
     """Whether structure rules drop the element. A header inside an article stays for its headings (see blocks)."""
     if node.tag in DROPPED:
@@ -108,7 +118,7 @@ def unwanted(node: Node, in_article: bool) -> bool:
         return False
     for m in ATTR.finditer(node.attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and any(w in MARKED or MARKED.intersection(re.split(r"[-_]+", w)) for w in value.split()):
+        if name in ("class", "id") and any(map(marked, value.split())):
             return True
         if name == "role" and value.strip() in ROLES:
             return True
@@ -120,19 +130,25 @@ def unwanted(node: Node, in_article: bool) -> bool:
 
 
 def _roots(tree: Node) -> list[Node]:
-    """The articles that aren't dropped nor inside another one; else the main element; else the whole page."""
-    articles, mains, stack = [], [], [tree]
-    while stack:
-        node = stack.pop()
-        for kid in reversed(node.kids):
-            if isinstance(kid, Node) and not unwanted(kid, False):
-                stack.append(kid)
-        if node.tag == "article":
-            articles.append(node)
-            del stack[len(stack) - sum(isinstance(k, Node) and not unwanted(k, False) for k in node.kids) :]
-        elif node.tag == "main" or 'role="main"' in node.attrs:
-            mains.append(node)
-    return articles or mains[:1] or [tree]
+    """The articles that aren't dropped nor inside another one; else the main element; else the whole page.
+
+    If all articles and mains stand inside elements dropped by their class, id, role or style, those around them are
+    not dropped: whatever holds the main text stays.
+    """
+
+    def found(dropped) -> list[Node]:
+        articles, mains, stack = [], [], [tree]
+        while stack:
+            node = stack.pop()
+            if node.tag == "article":
+                articles.append(node)
+                continue
+            if node.tag == "main" or 'role="main"' in node.attrs:
+                mains.append(node)
+            stack += [k for k in reversed(node.kids) if isinstance(k, Node) and not dropped(k)]
+        return articles or mains[:1]
+
+    return found(lambda k: unwanted(k, False)) or found(lambda k: k.tag in DROPPED) or [tree]
 
 
 def blocks(text: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
