@@ -23,7 +23,7 @@ MODEL_WORDS = 1100
 BINS = 344
 ENDING = 3
 #: Training tokens of a shard, and shards at most: what a task learns from follows from the documents' ids alone.
-SHARD_TOKENS, MAX_SHARDS = 4_000_000, 4096
+SHARD_TOKENS, MAX_SHARDS = 2_000_000, 4096
 #: Words whose counts are sent to every task at most (about 2 MB); counts of the others are joined.
 SENT_WORDS = 60_000
 UNITS = 16
@@ -80,18 +80,25 @@ class Vocabulary:
         return np.append(np.log10(self.shared[:, 0] + WEIGHT * (self.shared[:, 1] + 1)), np.zeros(self.size - BINS))
 
 
+class Endings(dict):
+    """The shared symbols of endings met lately."""
+
+    def __missing__(self, ending: bytes) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        got = self[ending] = bin_of(ending)
+        return got
+
+
 class Known(dict):
-    """id * 65536 + symbol of the words met lately."""
+    """id * 65536 + symbol of a word; only the words sent are held."""
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
+        super().__init__({w: i << 16 | vocabulary.symbol(w) for w, i in vocabulary.ids.items()})
+        self.endings = Endings()
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        got = self[word] = self.vocabulary.ids.get(word, 0) << 16 | self.vocabulary.symbol(word)
-        return got
+        return self.endings[word[-ENDING:]]
 
     def read(self, text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The tokens, their ids and their symbols."""
@@ -303,7 +310,7 @@ def train(model: Model, docs: Iterator[tuple[object, np.ndarray]], end: int) ->
 def score(model: Model, docs: Iterator[tuple[object, np.ndarray]], end: int) -> Iterator[tuple[object, float]]:
     """(key, log10 probability of the ids) of each document, as they end."""
     h, sums, keys = np.zeros((LANES, model.units), np.float32), {}, {}
-    for x, y, fresh, live, doc, begun, ended, used in Lanes(docs, end).windows():
+    for x, y, fresh, live, doc, begun, ended, used in Lanes(docs, end, LANES, 2 * STEPS).windows():
         logp, where, h[used], _ = model.window(x, y, fresh, live, h[used], False)
         keys.update(begun)
         own = doc.ravel()[where]
@@ -420,7 +427,7 @@ def fit(train_rows: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     for share in ROUNDS:
         part = train_rows.filter((F.col("_round") >= low) & (F.col("_round") < low + share + 1e-9)).select((F.floor(F.col("_crc") / 10000) % shards).alias("_shard"), "_id", "_t")
         low += share
-        models = part.repartition(shards, "_shard").sortWithinPartitions("_shard", "_id", "_t").select("_shard", "_t").mapInArrow(_train(shared, flat), kinds)
+        models = part.repartitionById(shards, F.col("_shard").cast("int")).sortWithinPartitions("_shard", "_id", "_t").select("_shard", "_t").mapInArrow(_train(shared, flat), kinds)
         models = models.repartition(groups, F.col("shard") % groups).sortWithinPartitions("shard").mapInArrow(_add, kinds)
         got = models.repartition(1).sortWithinPartitions("shard").mapInArrow(_add, kinds).collect()
         if got:
