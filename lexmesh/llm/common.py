@@ -13,12 +13,14 @@ SPACE = r"[ \t-\r]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines of the cluster share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all machines of the cluster share: spark.checkpoint.dir. Where it is unset a local folder serves a local master (tests); on a cluster that is an error."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     made = spark.conf.get("lexmesh.local.dir", None)
     if not made:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all machines share")
         made = "file://" + tempfile.mkdtemp(prefix="lexmesh-")
         spark.conf.set("lexmesh.local.dir", made)
     return made

@@ -23,8 +23,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: An odd multiplier for each value of a signature.
 SEEDS = (mix(np.arange(1, 513, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
-#: Characters of text that a block of a bucket's members has on average; a task compares two blocks at a time.
-BLOCK_CHARS = 1 << 20
 #: Characters of different texts after which a task of the comparison turns to the groups read so far.
 HELD = 300_000
 #: 8-byte keys that a broadcast may hold (about 80 MB as a hash table); more are joined by shuffle.
@@ -79,6 +77,9 @@ def windows(lines: list[str], width: int, exact: bool) -> tuple[np.ndarray, np.n
 class Characters:
     """The sets of a line: its windows of width characters."""
 
+    #: Characters of text that a block of a bucket's members has on average; a task compares two blocks at a time.
+    block_chars = 1 << 20
+
     def __init__(self, width: int):
         self.width = width
 
@@ -201,7 +202,7 @@ def similar_links(lines: DataFrame, kind, bands: int, rows: int, percent: int) -
     members = cut(banded.join(broadcast_if_small(shared, MAX_KEYS), F.col("_band") == F.col("_b"), "left_semi").distinct(), "members")
     one, two = F.xxhash64("_key"), F.xxhash64(F.lit(1), "_key")
     buckets = members.groupBy("_band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y"), F.sum("_chars").alias("chars"))
-    buckets = cut(buckets.filter("n > 1").groupBy("n", "x", "y").agg(F.min("_band").alias("_b"), F.first("chars").alias("chars")).select("_b", F.ceil(F.col("chars") / BLOCK_CHARS).cast("int").alias("_blocks")), "buckets")
+    buckets = cut(buckets.filter("n > 1").groupBy("n", "x", "y").agg(F.min("_band").alias("_b"), F.first("chars").alias("chars")).select("_b", F.ceil(F.col("chars") / kind.block_chars).cast("int").alias("_blocks")), "buckets")
     met = members.join(broadcast_if_small(buckets, MAX_KEYS), F.col("_band") == F.col("_b")).select("_band", "_key", F.greatest("_blocks", F.lit(1)).alias("_blocks"))
     wanted = cut(members.select(F.col("_key").alias("_w")).distinct(), "wanted")
     texts = lines.join(broadcast_if_small(wanted, MAX_KEYS // 3), F.col("_key") == F.col("_w"), "left_semi").select(F.col("_key").alias("_t"), "_line")
