@@ -49,7 +49,7 @@ def windows(lines: list[str], width: int, exact: bool) -> tuple[np.ndarray, np.n
     With exact=True different windows of these lines have different numbers: the characters stand side by side in one
     number, if need be by their rank among the lines' characters. Else the number is a hash, the same in every call.
     """
-    sizes, pad = np.array([len(x) for x in lines], np.int64), width - 1
+    sizes, pad = np.array([len(x) for x in lines], np.int64), width  # an empty line has a window too
     codes = np.frombuffer(("\0" * pad).join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     starts = np.cumsum(sizes + pad) - sizes - pad
     bits = 64 // width
@@ -63,13 +63,14 @@ def windows(lines: list[str], width: int, exact: bool) -> tuple[np.ndarray, np.n
             bits = max(bits, len(kinds).bit_length())
     with np.errstate(over="ignore"):
         step = np.uint64(1 << bits if exact else 0x100000001B3)
-        out = codes[: len(codes) - pad].copy()
+        size = len(codes) - width + 1
+        out = codes[:size].copy()
         for k in range(1, width):
             if exact and bits * width > 64:  # very many different characters: pairs are ranked anew at each step
-                out = np.unique(np.stack([out, codes[k : len(codes) - pad + k]]), axis=1, return_inverse=True)[1].astype(np.uint64).ravel()
+                out = np.unique(np.stack([out, codes[k : size + k]]), axis=1, return_inverse=True)[1].astype(np.uint64).ravel()
             else:
-                out = out * step + codes[k : len(codes) - pad + k]
-    counts = np.maximum(1, sizes - pad)
+                out = out * step + codes[k : size + k]
+    counts = np.maximum(1, sizes - width + 1)
     first = np.cumsum(counts) - counts
     return out[np.arange(counts.sum()) - np.repeat(first - starts, counts)], first
 
