@@ -110,3 +110,11 @@ def test_connected_sets():
                         root[i] = root[j] = min(root[i], root[j])
         got = minhash.connected(sets, 80)
         assert len(set(zip(got.tolist(), root, strict=True))) == len(set(got.tolist())) == len(set(root))
+
+
+def test_rows_of_one_id_stay_by_the_least_text(spark):
+    """Repeated and null ids within a component: one row stays, that of the least text, also across texts of other cases."""
+    body = " ".join(f"word{k}" for k in range(40))
+    rows = [(3, body.upper()), (3, body), (3, body.upper() + " "), (5, body), (None, "alone one two three four"), (None, "ALONE one two three four"), (7, None), (7, "")]
+    got = keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "ALONE one two three four"), (3, body.upper()), (7, "")]
