@@ -207,7 +207,7 @@ def similar_links(lines: DataFrame, kind, bands: int, rows: int, percent: int) -
     met = members.join(broadcast_if_small(buckets, MAX_KEYS), F.col("_band") == F.col("_b")).select("_band", "_key", F.greatest("_blocks", F.lit(1)).alias("_blocks"))
     wanted = cut(members.select(F.col("_key").alias("_w")).distinct(), "wanted")
     texts = lines.join(broadcast_if_small(wanted, MAX_KEYS // 3), F.col("_key") == F.col("_w"), "left_semi").select(F.col("_key").alias("_t"), "_line")
-    texts = cut(texts.dropDuplicates(["_t"]), "texts")
+    texts = texts.dropDuplicates(["_t"])  # stays dealt by its key for the join below
     own = F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int")
     dealt = met.select("_band", "_key", own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
     dealt = dealt.select("_band", "_key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
