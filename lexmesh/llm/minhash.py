@@ -25,8 +25,9 @@ SEEDS = (mix(np.arange(1, 513, dtype=np.uint64)) >> np.uint64(32)).astype(np.uin
 
 #: Characters of different texts after which a task of the comparison turns to the groups read so far.
 HELD = 300_000
-#: 8-byte keys that a broadcast may hold (about 80 MB as a hash table); more are joined by shuffle.
-MAX_KEYS = 1_000_000
+#: 8-byte keys that a broadcast may hold (about 20 MB as a hash table); more are joined by shuffle. Several are held at a
+#: time, and the driver makes each: a million keys took 150 MB of it.
+MAX_KEYS = 200_000
 
 
 def band_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> np.ndarray:

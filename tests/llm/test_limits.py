@@ -4,7 +4,11 @@ import time
 
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import CLEAN, cut
+from tests.llm.helpers import corpus, documents
+
+from lexmesh.llm import minhash
+from lexmesh.llm.common import CLEAN, broadcast_if_small, cut
+from lexmesh.llm.neardedup import keep_first
 
 
 def shuffled(spark):
@@ -21,3 +25,16 @@ def test_cut_leaves_no_shuffle_files(spark):
     assert not shuffled(spark) - was
     assert sorted(r.n for r in back.collect()) == sorted(sum(range(k, 1000, 7)) for k in range(7))
     assert spark.conf.get(CLEAN, None) == before
+
+
+def test_keys_for_the_driver_are_few(spark):
+    """What a table of 6 GB asks for (over 300,000 keys) isn't broadcast through the driver."""
+    hinted = lambda n: "Hint" in broadcast_if_small(spark.range(n), minhash.MAX_KEYS)._jdf.queryExecution().logical().toString()
+    assert hinted(1000) and not hinted(300_000)
+
+
+def test_near_duplicates_without_broadcasts(spark, monkeypatch):
+    rows = documents(spark, [r for r in corpus() if r[0] is not None and r[0] != 3])
+    ids = sorted(r.doc_id for r in keep_first(rows).collect())
+    monkeypatch.setattr(minhash, "MAX_KEYS", 0)
+    assert sorted(r.doc_id for r in keep_first(rows).collect()) == ids
