@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmesh.llm.common import broadcast_if_small, cut
+from lexmesh.llm.common import broadcast_if_small, cut, semi_join
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -115,6 +115,21 @@ def signatures(kind, bands: int, rows: int):
     return run
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different numbers of x in order; sorting takes less than the hash table of np.unique."""
+    x = np.sort(x)
+    fresh = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=fresh[1:])
+    return x[fresh]
+
+
+def shared_by(one: np.ndarray, two: np.ndarray) -> int:
+    """How many numbers two sets have in common."""
+    x = np.concatenate([one, two])
+    x.sort()
+    return np.count_nonzero(x[1:] == x[:-1])
+
+
 def connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set (distinct numbers) the first set of its component under a Jaccard similarity of percent or more.
 
@@ -124,9 +139,10 @@ def connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
     n = len(sets)
     root, sizes = np.arange(n), np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
-    _, ids = np.unique(flat, return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
-    listed = owner[np.argsort(ids, kind="stable")]
+    order = np.argsort(flat)
+    ranked, ids = flat[order], np.empty(len(flat), np.int64)
+    ids[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1]))
+    listed = np.repeat(np.arange(n), sizes)[order]
     each = np.bincount(ids)
     begin = np.cumsum(each) - each
     first = np.cumsum(sizes) - sizes
@@ -154,12 +170,12 @@ def _linked(kind, percent: int):
 
     def links(groups: list[list[bytes]], texts: dict[bytes, str]) -> pa.RecordBatch:
         numbers, first = kind.numbers(list(texts.values()), True)
-        sets = {k: np.unique(part) for k, part in zip(texts, np.split(numbers, first[1:]), strict=True)}
+        sets = {k: distinct(part) for k, part in zip(texts, np.split(numbers, first[1:]), strict=True)}
         a, b = [], []
         for keys in groups:
             own = [sets[k] for k in keys]
             if len(own) == 2:
-                both = len(np.intersect1d(*own, assume_unique=True)) if 100 * min(map(len, own)) >= percent * max(map(len, own)) else 0
+                both = shared_by(*own) if 100 * min(map(len, own)) >= percent * max(map(len, own)) else 0
                 root = [0, 0 if 100 * both >= percent * (len(own[0]) + len(own[1]) - both) else 1]
             else:
                 root = connected(own, percent).tolist()
@@ -200,14 +216,14 @@ def similar_links(lines: DataFrame, kind, bands: int, rows: int, percent: int) -
     signed = cut(lines.mapInArrow(signatures(kind, bands, rows), "_key binary, _bands array<long>, _chars long"), "signed")
     banded = signed.select("_key", "_chars", F.explode("_bands").alias("_band"))
     low = F.xxhash64("_key").alias("_k")
-    shared = cut(banded.select("_band", low).groupBy("_band").agg(F.min("_k").alias("_low"), F.max("_k").alias("_high")).filter("_low != _high").select(F.col("_band").alias("_b")), "shared")
-    members = cut(banded.join(broadcast_if_small(shared, MAX_KEYS), F.col("_band") == F.col("_b"), "left_semi").distinct(), "members")
+    shared = cut(banded.select("_band", low).groupBy("_band").agg(F.min("_k").alias("_low"), F.max("_k").alias("_high")).filter("_low != _high").select(F.col("_band").alias("_s")), "shared")
+    members = cut(semi_join(banded, "_band", shared, MAX_KEYS).distinct(), "members")
     one, two = F.xxhash64("_key"), F.xxhash64(F.lit(1), "_key")
     buckets = members.groupBy("_band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y"), F.sum("_chars").alias("chars"))
     buckets = cut(buckets.filter("n > 1").groupBy("n", "x", "y").agg(F.min("_band").alias("_b"), F.first("chars").alias("chars")).select("_b", F.ceil(F.col("chars") / kind.block_chars).cast("int").alias("_blocks")), "buckets")
     met = members.join(broadcast_if_small(buckets, MAX_KEYS), F.col("_band") == F.col("_b")).select("_band", "_key", F.greatest("_blocks", F.lit(1)).alias("_blocks"))
     wanted = cut(members.select(F.col("_key").alias("_w")).distinct(), "wanted")
-    texts = lines.join(broadcast_if_small(wanted, MAX_KEYS // 3), F.col("_key") == F.col("_w"), "left_semi").select(F.col("_key").alias("_t"), "_line")
+    texts = semi_join(lines, "_key", wanted, MAX_KEYS // 3).select(F.col("_key").alias("_t"), "_line")
     texts = texts.dropDuplicates(["_t"])  # stays dealt by its key for the join below
     own = F.pmod(F.xxhash64("_key"), F.col("_blocks")).cast("int")
     dealt = met.select("_band", "_key", own.alias("_own"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))

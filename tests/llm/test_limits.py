@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import corpus, documents
 
 from lexmesh.llm import minhash
-from lexmesh.llm.common import CLEAN, broadcast_if_small, cut
+from lexmesh.llm.common import CLEAN, broadcast_if_small, cut, semi_join
+from lexmesh.llm.linededup import dedup_report
 from lexmesh.llm.neardedup import keep_first
 
 
@@ -38,3 +39,32 @@ def test_near_duplicates_without_broadcasts(spark, monkeypatch):
     ids = sorted(r.doc_id for r in keep_first(rows).collect())
     monkeypatch.setattr(minhash, "MAX_KEYS", 0)
     assert sorted(r.doc_id for r in keep_first(rows).collect()) == ids
+
+
+def shuffled_rows(spark):
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_joins_with_many_keys_shuffle_few_other_rows(spark):
+    """Beyond the broadcast's limit what has no key mostly stays where it is, and none that has one is lost."""
+    rows = spark.range(40_000).select("id", F.xxhash64("id").alias("k"), F.unhex(F.md5(F.col("id").cast("string"))).alias("b"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for col in "kb":
+            keys = cut(rows.filter("id % 40 = 3").select(F.col(col).alias("w")))
+            before = shuffled_rows(spark)
+            got = sorted(r.id for r in semi_join(rows, col, keys, 10).collect())
+            assert got == list(range(3, 40_000, 40))
+            assert shuffled_rows(spark) - before < 10_000
+            assert semi_join(rows, col, keys, 1000).count() == 1000 and semi_join(rows, col, keys.limit(0), 0).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_without_broadcasts(spark, monkeypatch):
+    rows = documents(spark, corpus())
+    tidy = lambda: sorted(map(repr, dedup_report(rows).collect()))
+    want = tidy()
+    monkeypatch.setattr(minhash, "MAX_KEYS", 0)
+    assert tidy() == want
