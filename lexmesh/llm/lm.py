@@ -103,17 +103,17 @@ class Known(dict):
     def read(self, text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """The tokens, their ids and their symbols."""
         own = [*words(text), END]
-        both = np.array(list(map(self.__getitem__, own)), np.int64)
+        both = np.fromiter(map(self.__getitem__, own), np.int64, len(own))
         return own, (both >> 16).astype(np.int32), (both & 0xFFFF).astype(np.int32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     """Of an array that is given up."""
-    np.negative(x, out=x)
-    np.minimum(x, 80, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x *= np.float32(0.5)
+    x += np.float32(0.5)
+    return x
 
 
 class Model:
@@ -131,10 +131,14 @@ class Model:
         return np.concatenate([self.p[k].ravel() for k in self.shapes])
 
     def load(self, flat: np.ndarray) -> Model:
+        return self.share(flat.astype(np.float32))
+
+    def share(self, flat: np.ndarray) -> Model:
+        """Take the parameters that stand in flat, which goes on to hold them."""
         at = 0
         for k, s in self.shapes.items():
             n = int(np.prod(s))
-            self.p[k] = flat[at : at + n].reshape(s).astype(np.float32)
+            self.p[k] = flat[at : at + n].reshape(s)
             at += n
         return self
 
@@ -152,88 +156,108 @@ class Model:
         """Run a window (steps x lanes). Returns natural log probabilities, the state after it and gradients if learning."""
         p, n = self.p, self.units
         steps, lanes = x.shape
-        xe = p["E"][x]
-        gx = xe.reshape(-1, n) @ p["Wx"]
-        gx = (gx + p["b"]).reshape(steps, lanes, 3 * n)
-        hs = np.empty((steps, lanes, n), np.float32)
+        x, h = np.ascontiguousarray(x), np.ascontiguousarray(h.T)  # units stand before lanes, so that each gate is one block
+        xe = p["E"][x] if learn or x.size <= self.size else None
+        gx = xe @ p["Wx"] + p["b"] if x.size <= self.size else (p["E"] @ p["Wx"] + p["b"])[x]
+        gx, wh = gx.transpose(0, 2, 1), np.ascontiguousarray(p["Wh"].T)
+        hs = np.empty((steps, n, lanes), np.float32)
         keep = []
         starts = fresh.any(axis=1)
         for t in range(steps):
             if starts[t]:
-                h = h * (1 - fresh[t])[:, None]
-            gh = h @ p["Wh"]
-            zr = sigmoid(gx[t, :, : 2 * n] + gh[:, : 2 * n])
-            z, r = zr[:, :n], zr[:, n:]
-            c = r * gh[:, 2 * n :]
-            c += gx[t, :, 2 * n :]
-            c = 2 * sigmoid(2 * c) - 1  # tanh
+                h = h * (1 - fresh[t])
+            gh, own = wh @ h, gx[t]
+            zr = sigmoid(gh[: 2 * n] + own[: 2 * n])
+            z, r, ghc = zr[:n], zr[n:], gh[2 * n :]
+            c = r * ghc
+            c += own[2 * n :]
+            np.tanh(c, out=c)
             before = h
-            h = c + z * (before - c)
-            hs[t] = h
+            h = np.subtract(before, c, out=hs[t])
+            h *= z
+            h += c
             if learn:
-                keep.append((before, z, r, c, gh[:, 2 * n :]))
-        where = np.flatnonzero(live.ravel())
-        ho, want = hs.reshape(-1, n)[where], y.ravel()[where]
+                keep.append((before, z, r, c, ghc))
+        where, wanted = np.flatnonzero(live.ravel()), y.ravel()
+        cls = wanted[where] // self.width
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        place = where[order]  # from here on by class
+        ho, want = hs.transpose(0, 2, 1).reshape(-1, n)[place], wanted[place]
         cls, inner = want // self.width, want % self.width
-        logit = ho @ p["Wc"] + p["bc"]
-        logit -= logit.max(initial=-1e30)  # one shift for all rows: their largest numbers are much closer than a float's range
-        soft = np.exp(logit)
-        total = np.maximum(soft @ np.ones(self.classes, np.float32), np.float32(1e-37))
+        bound = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        soft = ho @ p["Wc"]
+        soft += p["bc"]
+        soft -= soft.max(initial=-1e30)  # one shift for all rows: their largest numbers are much closer than a float's range
         at = np.arange(len(want))
-        logp = logit[at, cls] - np.log(total)
-        order = np.argsort(cls, kind="stable")
-        bound = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        logp = soft[at, cls]
+        np.exp(soft, out=soft)
+        total = np.maximum(soft @ np.ones(self.classes, np.float32), np.float32(1e-37))
+        logp -= np.log(total)
         grads = {k: np.zeros(s, np.float32) for k, s in self.shapes.items()} if learn else None
         if learn:
             soft /= total[:, None]
             soft[at, cls] -= 1
-            grads["Wc"], grads["bc"] = ho.T @ soft, soft.sum(axis=0)
+            grads["Wc"], grads["bc"] = ho.T @ soft, np.ones(len(want), np.float32) @ soft
             dh = soft @ p["Wc"].T
-        ones = np.ones(self.width, np.float32)
+        ones, rows = np.ones(self.width, np.float32), np.ones(len(want), np.float32)
         for k in range(self.classes):
-            own = order[bound[k] : bound[k + 1]]
-            if not len(own):
+            lo, hi = bound[k], bound[k + 1]
+            if lo == hi:
                 continue
-            part = slice(k * self.width, (k + 1) * self.width)
-            hk = ho[own]
-            lk = hk @ p["Wo"][part].T + p["bo"][part]
-            lk -= lk.max()
-            ek = np.exp(lk)
-            sk, ik = np.maximum(ek @ ones, np.float32(1e-37)), (at[: len(own)], inner[own])
-            logp[own] += lk[ik] - np.log(sk)
+            part, hk = slice(k * self.width, (k + 1) * self.width), ho[lo:hi]
+            ek = hk @ p["Wo"][part].T
+            ek += p["bo"][part]
+            ek -= ek.max()
+            ik = at[: hi - lo], inner[lo:hi]
+            logp[lo:hi] += ek[ik]
+            np.exp(ek, out=ek)
+            sk = np.maximum(ek @ ones, np.float32(1e-37))
+            logp[lo:hi] -= np.log(sk)
             if learn:
                 ek /= sk[:, None]
                 ek[ik] -= 1
-                grads["Wo"][part], grads["bo"][part] = ek.T @ hk, ek.sum(axis=0)
-                dh[own] += ek @ p["Wo"][part]
+                grads["Wo"][part], grads["bo"][part] = ek.T @ hk, rows[: hi - lo] @ ek
+                dh[lo:hi] += ek @ p["Wo"][part]
         if learn and len(where):
             scale = np.float32(1 / len(where))
             for k in ("Wc", "bc", "Wo", "bo"):
                 grads[k] *= scale
             dhs = np.zeros((steps * lanes, n), np.float32)
-            dhs[where] = dh * scale
-            dhs = dhs.reshape(steps, lanes, n)
-            dgx = np.empty((steps, lanes, 3 * n), np.float32)
-            back, dgh = np.zeros((lanes, n), np.float32), np.empty((lanes, 3 * n), np.float32)
+            dhs[place] = dh * scale
+            dhs = dhs.reshape(steps, lanes, n).transpose(0, 2, 1)
+            dgx = np.empty((steps, 3 * n, lanes), np.float32)
+            back, dgh = np.zeros((n, lanes), np.float32), np.empty((3 * n, lanes), np.float32)
             for t in reversed(range(steps)):
                 before, z, r, c, ghc = keep[t]
-                d = dhs[t] + back
-                dz = d * (before - c) * z * (1 - z)
-                dc = d * (1 - z) * (1 - c * c)
-                dr = dc * ghc * r * (1 - r)
-                dgx[t, :, :n], dgx[t, :, n : 2 * n], dgx[t, :, 2 * n :] = dz, dr, dc
-                dgh[:, :n], dgh[:, n : 2 * n], dgh[:, 2 * n :] = dz, dr, dc * r
-                grads["Wh"] += before.T @ dgh
-                back = d * z + dgh @ p["Wh"].T
+                d, own = dhs[t] + back, dgx[t]
+                dz, dr, dc = own[:n], own[n : 2 * n], own[2 * n :]
+                open_ = 1 - z
+                np.multiply(c, c, out=dc)
+                np.subtract(1, dc, out=dc)
+                open_ *= d
+                dc *= open_
+                np.subtract(before, c, out=dz)
+                dz *= open_
+                dz *= z
+                np.subtract(1, r, out=dr)
+                dr *= r
+                dr *= ghc
+                dr *= dc
+                dgh[: 2 * n] = own[: 2 * n]
+                np.multiply(dc, r, out=dgh[2 * n :])
+                grads["Wh"] += before @ dgh.T
+                d *= z
+                back = p["Wh"] @ dgh
+                back += d
                 if starts[t]:
-                    back *= (1 - fresh[t])[:, None]
-            flat = dgx.reshape(-1, 3 * n)
-            grads["Wx"], grads["b"] = xe.reshape(-1, n).T @ flat, flat.sum(axis=0)
-            dx = flat @ p["Wx"].T
-            ids = x.ravel()
+                    back *= 1 - fresh[t]
+            grads["Wx"], grads["b"] = np.matmul(xe.transpose(0, 2, 1), dgx.transpose(0, 2, 1)).sum(axis=0), dgx.sum(axis=2).sum(axis=0)
+            dx, ids = np.matmul(p["Wx"], dgx), x.ravel()
             for j in range(n):
-                grads["E"][:, j] = np.bincount(ids, dx[:, j], minlength=self.size)
-        return logp, where, h, grads
+                grads["E"][:, j] = np.bincount(ids, dx[:, j].ravel(), minlength=self.size)
+        out = np.empty_like(logp)
+        out[order] = logp
+        return out, where, h.T, grads
 
 
 class Lanes:
@@ -290,20 +314,30 @@ class Lanes:
 
 def train(model: Model, docs: Iterator[tuple[object, np.ndarray]], end: int) -> int:
     """One pass with Adam over the documents' ids; the number of tokens learnt from."""
-    mean, var, step, seen = {k: np.zeros(s, np.float32) for k, s in model.shapes.items()}, {k: np.zeros(s, np.float32) for k, s in model.shapes.items()}, 0, 0
+    flat, step, seen = model.flat(), 0, 0
+    model.share(flat)
+    mean, var, by = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     h = np.zeros((LANES, model.units), np.float32)
     for x, y, fresh, live, _, _, _, used in Lanes(docs, end).windows():
         logp, _, h[used], grads = model.window(x, y, fresh, live, h[used], True)
         seen += len(logp)
         step += 1
-        norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-        scale = min(1.0, CLIP / max(norm, 1e-12))
+        g = np.concatenate([grads[k].ravel() for k in model.shapes])
+        norm = math.sqrt(float(g @ g))
+        g *= np.float32(min(1.0, CLIP / max(norm, 1e-12)))
         rate = RATE * math.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-        for k, g in grads.items():
-            g *= np.float32(scale)
-            mean[k] += np.float32(0.1) * (g - mean[k])
-            var[k] += np.float32(0.001) * (g * g - var[k])
-            model.p[k] -= np.float32(rate) * mean[k] / (np.sqrt(var[k]) + np.float32(1e-8))
+        np.subtract(g, mean, out=by)
+        by *= np.float32(0.1)
+        mean += by
+        g *= g
+        g -= var
+        g *= np.float32(0.001)
+        var += g
+        np.sqrt(var, out=by)
+        by += np.float32(1e-8)
+        np.divide(mean, by, out=by)
+        by *= np.float32(rate)
+        flat -= by
     return seen
 
 

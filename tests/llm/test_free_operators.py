@@ -274,6 +274,27 @@ def test_gradients():
             assert abs((up - down) / 2e-2 - grads[k][at]) < 3e-3, k
 
 
+def test_training_is_adam_of_each_parameter():
+    """Training on one vector of all parameters gives what Adam gives array by array, and leaves the given start alone."""
+    rng = np.random.default_rng(5)
+    docs_ = [(i, rng.integers(0, 30, n).astype(np.int32)) for i, n in enumerate(rng.integers(1, 200, 40))]
+    begin = lm.Model(30, 4).flat()
+    one, two = lm.Model(30, 4).load(begin), lm.Model(30, 4).load(begin)
+    seen = lm.train(one, iter(docs_), 1)
+    mean, var = ({k: np.zeros(s) for k, s in two.shapes.items()} for _ in "ab")
+    h = np.zeros((lm.LANES, 4), np.float32)
+    for step, (x, y, fresh, live, _, _, _, used) in enumerate(lm.Lanes(iter(docs_), 1).windows(), 1):
+        _, _, h[used], grads = two.window(x, y, fresh, live, h[used], True)
+        scale = min(1, lm.CLIP / np.sqrt(sum((g.astype(float) ** 2).sum() for g in grads.values())))
+        for k, g in grads.items():
+            mean[k] = 0.9 * mean[k] + 0.1 * scale * g
+            var[k] = 0.999 * var[k] + 0.001 * (scale * g) ** 2
+            two.p[k] -= (lm.RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * mean[k] / (np.sqrt(var[k]) + 1e-8)).astype(np.float32)
+    assert seen == sum(len(v) for _, v in docs_) and np.abs(one.flat() - begin).max() > 0.01
+    assert np.allclose(one.flat(), two.flat(), atol=1e-3) and np.array_equal(begin, lm.Model(30, 4).flat())
+    assert all(np.shares_memory(v, one.p["E"].base) for v in one.p.values())
+
+
 def test_state_is_carried_and_probabilities_sum_to_one():
     m = lm.Model(7, 4)
     docs_ = [(i, np.array(v, np.int32)) for i, v in enumerate([[1, 2, 3] * 30, [4], [0, 5], [6] * 70, [2, 1]])]
