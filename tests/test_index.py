@@ -5,10 +5,11 @@ import json
 import pytest
 from lexmesh.functions.text import DELIMITERS, STOP_WORDS, subwords_of
 from lexmesh.functions.tlsh import hash_bytes
+from lexmesh.operators import index as index_module
 from lexmesh.operators.fuzzyindex import FuzzyIndex
-from lexmesh.operators.index import Options, index_batch
-from lexmesh.operators.search import search
-from lexmesh.sources.storage import list_files, read_vocabulary
+from lexmesh.operators.index import Options, first_places, index_batch
+from lexmesh.operators.search import search, search_texts
+from lexmesh.sources.storage import list_files, read_vocabulary, settle
 from lexmesh.streaming.ingest import ingest
 from tests.test_hash import distance
 from tests.test_text import plain_augment, plain_strip
@@ -230,3 +231,27 @@ def test_empty_index(spark):
     assert index.query("small") == []
     index.update_many(frame(spark, []))
     assert index.query("small") == [] and index.stats()["keys"] == 0
+
+
+ODD = [(0, "small ring, smalll «smäll»"), (0, "ring smal small"), (7, "ring (small) SMALL? Ömall"), (-4, "small bolt"), (9, None), (3, ""), (5, "of the // __small-smal:ring//\\"), (8, "b smallx smale smals")]
+
+
+@pytest.mark.parametrize("more,vocabulary,cap,top", [([], (), 10_000, 120), ([(None, "smalls ring small")], ("mal", "in"), 3, 2), ([(1 << 40, "smalls ring bring")], (), None, None)], ids=["packed", "null key", "wide keys"])
+def test_search_without_index_is_search(spark, more, vocabulary, cap, top):
+    docs = ODD + more
+    options, q = Options(vocabulary=vocabulary), spark.createDataFrame([(1, "smal rng"), (2, "the of"), (3, "ring ring")], "query_id int, query string")
+    gone = spark.createDataFrame([(7,)], "key bigint")
+    want = search(q, *index_batch(frame(spark, docs), options), options, 300, cap, top, gone).collect()
+    got = search_texts(q, frame(spark, docs), options, 300, cap, top, gone).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and want
+
+
+def test_only_blocks_of_the_query_are_hashed_and_no_text_is_sorted(spark, monkeypatch):
+    """Words are grouped by hashing, a row each a task, and only terms that a query's term is compared with are hashed."""
+    settled = {}
+    monkeypatch.setattr(index_module, "settle", lambda df, name: settled.setdefault(name, settle(df, name)))
+    q = spark.createDataFrame([(1, "smal")], "query_id int, query string")
+    search_texts(q, frame(spark), Options()).collect()
+    assert {r.unigram for r in settled["terms"].collect()} == {"s"}
+    plan = first_places(frame(spark), Options())._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
