@@ -71,3 +71,16 @@ def test_nothing_else_imports_it():
                 if n.endswith(".py"):
                     with open(f"{folder}/{n}", encoding="utf-8") as f:
                         assert "lexmesh.llm" not in f.read()
+
+
+def test_term_document_frequency_of_repeated_ids(spark, tmp_path, monkeypatch):
+    """Rows of one id, null too, are one document; nothing but terms is shuffled where no id is repeated."""
+    rows = [(1, "Ring (ring) bolt"), (1, "ring, the nut"), (None, "ring"), (None, "RING of bolt"), (2, "bolt-bolt ΟΔΟΣ"), (3, None), (4, "?? ring")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {"ring": 3, "bolt": 3, "nut": 1, "οδος": 1}
+    for limit in (1_000_000, 1):
+        monkeypatch.setattr(keyword, "MAX_BROADCAST_IDS", limit)
+        assert {r.term: r.df for r in keyword.term_document_frequency(spark, str(tmp_path)).collect()} == want
+    spark.createDataFrame(rows[4:], "doc_id bigint, text string").write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    plan = keyword.term_document_frequency(spark, str(tmp_path / "b"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
