@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,12 +35,30 @@ CLIP = 5.0
 ROUNDS = (0.1, 0.3, 0.6)
 #: Characters of the texts that a task sorts by length at a time.
 PART_CHARS = 1 << 24
+#: Characters of the texts whose words are looked up together.
+READ_CHARS = 1 << 22
 WEIGHT = 0.1
 
 
-def words(text: str) -> list[bytes]:
-    """Words in A-Z lower case, split at space and \\t to \\r."""
-    return text.encode("utf-8", "replace").lower().split()
+def words(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in A-Z lower case, split at space and \\t to \\r, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+    flat, ends = lists.values.cast(pa.large_binary()), lists.offsets.to_numpy()
+    some = pc.greater(pc.binary_length(flat), 0)  # blanks at a text's ends leave an empty one
+    before = np.append(0, np.cumsum(some.to_numpy(zero_copy_only=False)))
+    return flat.filter(some), np.diff(before[ends])
+
+
+def parts_of(texts: list[str], chars: int = PART_CHARS) -> Iterator[list[str]]:
+    """The texts in parts of so many characters, or a little more."""
+    at = 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and size < chars:
+            size += len(texts[end])
+            end += 1
+        yield texts[at:end]
+        at = end
 
 
 def bin_of(word: bytes) -> int:
@@ -80,40 +98,55 @@ class Vocabulary:
         return np.append(np.log10(self.shared[:, 0] + WEIGHT * (self.shared[:, 1] + 1)), np.zeros(self.size - BINS))
 
 
-class Endings(dict):
-    """The shared symbols of endings met lately."""
+#: What crc32 adds for each value of a byte.
+CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    CRC = CRC >> np.uint32(1) ^ (CRC & np.uint32(1)) * np.uint32(0xEDB88320)
 
-    def __missing__(self, ending: bytes) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        got = self[ending] = bin_of(ending)
-        return got
 
+def bins_of(flat: pa.Array) -> np.ndarray:
+    """bin_of each word."""
+    ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
+    data, sizes, ends = np.frombuffer(flat.buffers()[2] or b"", np.uint8), np.diff(ends), ends[1:]
+    crc = np.full(len(flat), 0xFFFFFFFF, np.uint32)
+    for k in range(ENDING, 0, -1):
+        there = np.flatnonzero(sizes >= k)
+        own = crc[there]
+        crc[there] = CRC[(own ^ data[ends[there] - k]) & np.uint32(255)] ^ (own >> np.uint32(8))
+    return (~crc % np.uint32(BINS)).astype(np.int32)
 
-class Known(dict):
-    """id * 65536 + symbol of a word; only the words sent are held."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__({w: i << 16 | vocabulary.symbol(w) for w, i in vocabulary.ids.items()})
-        self.endings = Endings()
 
-    def __missing__(self, word: bytes) -> int:
-        return self.endings[word[-ENDING:]]
+class Known:
+    """Ids and symbols of words; only the words sent are held."""
 
-    def read(self, text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """The tokens, their ids and their symbols."""
-        own = [*words(text), END]
-        both = np.fromiter(map(self.__getitem__, own), np.int64, len(own))
-        return own, (both >> 16).astype(np.int32), (both & 0xFFFF).astype(np.int32)
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    """Of an array that is given up."""
-    x *= np.float32(0.5)
-    np.tanh(x, out=x)
-    x *= np.float32(0.5)
-    x += np.float32(0.5)
-    return x
+    def __init__(self, vocabulary: Vocabulary):
+        sent = sorted(vocabulary.ids, key=vocabulary.ids.__getitem__)
+        self.sent, self.end = pa.array(sent, pa.large_binary()), (vocabulary.ids.get(END, 0), vocabulary.end)
+        self.ids = np.array([0, *map(vocabulary.ids.__getitem__, sent)], np.int32)
+        self.symbols = np.array([0, *map(vocabulary.symbol, sent)], np.int32)
+
+    def read(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+        """The ids and symbols of each text's tokens, and its words that are not sent."""
+        for part in parts_of(texts, READ_CHARS):
+            flat, counts = words(part)
+            at = pc.index_in(flat, value_set=self.sent).fill_null(-1).to_numpy() + 1
+            own, rest = self.symbols[at], np.flatnonzero(at == 0)
+            rare = flat.take(pa.array(rest))
+            own[rest] = bins_of(rare)
+            stops = np.cumsum(counts + 1)
+            ids, symbols, word = np.full(stops[-1], self.end[0], np.int32), np.full(stops[-1], self.end[1], np.int32), np.ones(stops[-1], bool)
+            word[stops - 1] = False
+            ids[word], symbols[word] = self.ids[at], own
+            rare, rares = rare.to_pylist(), np.searchsorted(rest, np.append(0, np.cumsum(counts))).tolist()
+            first = 0
+            for k, stop in enumerate(stops.tolist()):
+                yield ids[first:stop], symbols[first:stop], rare[rares[k] : rares[k + 1]] + [END] * (self.end[0] == 0)
+                first = stop
+
+
+def rows_of(n: int, length: int) -> np.ndarray:
+    """n rows of numbers not yet set. A power of two between rows would bring them all to one place of the cache."""
+    return np.empty((n, length + 16), np.float32)[:, :length]
 
 
 class Model:
@@ -153,84 +186,93 @@ class Model:
         return self
 
     def window(self, x, y, fresh, live, h, learn: bool):
-        """Run a window (steps x lanes). Returns natural log probabilities, the state after it and gradients if learning."""
+        """Run a window (steps x lanes). Returns natural log probabilities, the state after it and gradients if learning.
+
+        Arrays have a row for each unit, so that operations run along lanes, and what a step or a class works on stays in
+        a core's cache.
+        """
         p, n = self.p, self.units
         steps, lanes = x.shape
-        x, h = np.ascontiguousarray(x), np.ascontiguousarray(h.T)  # units stand before lanes, so that each gate is one block
-        xe = p["E"][x] if learn or x.size <= self.size else None
-        gx = xe @ p["Wx"] + p["b"] if x.size <= self.size else (p["E"] @ p["Wx"] + p["b"])[x]
-        gx, wh = gx.transpose(0, 2, 1), np.ascontiguousarray(p["Wh"].T)
-        hs = np.empty((steps, n, lanes), np.float32)
-        keep = []
+        x, h = np.ascontiguousarray(x, np.intp), np.ascontiguousarray(h.T)
+        sign = np.repeat(np.float32([-1, 1]), (2 * n, n))[:, None]  # for exp(-x) of the gates
+        wh, wx = np.ascontiguousarray(p["Wh"].T) * sign, np.ascontiguousarray((p["E"] @ p["Wx"] + p["b"]).T) * sign
+        hs, keep = rows_of(n + 1, steps * lanes), []
+        hs[n] = 1
         starts = fresh.any(axis=1)
         for t in range(steps):
             if starts[t]:
                 h = h * (1 - fresh[t])
-            gh, own = wh @ h, gx[t]
-            zr = sigmoid(gh[: 2 * n] + own[: 2 * n])
-            z, r, ghc = zr[:n], zr[n:], gh[2 * n :]
+            gh, own = wh @ h, np.take(wx, x[t], axis=1, mode="clip")
+            zr, ghc = gh[: 2 * n], gh[2 * n :]
+            zr += own[: 2 * n]
+            np.minimum(zr, np.float32(80), out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            z, r = zr[:n], zr[n:]
             c = r * ghc
             c += own[2 * n :]
             np.tanh(c, out=c)
-            before = h
-            h = np.subtract(before, c, out=hs[t])
+            if learn:
+                keep.append((h, z, r, c, ghc))
+            h = h - c
             h *= z
             h += c
-            if learn:
-                keep.append((before, z, r, c, ghc))
+            hs[:n, t * lanes : (t + 1) * lanes] = h
         where, wanted = np.flatnonzero(live.ravel()), y.ravel()
-        cls = wanted[where] // self.width
-        order = np.argsort(cls.astype(np.int16), kind="stable")
+        cls = (wanted[where] // self.width).astype(np.int16)
+        order = np.argsort(cls, kind="stable")
         place = where[order]  # from here on by class
-        ho, want = hs.transpose(0, 2, 1).reshape(-1, n)[place], wanted[place]
-        cls, inner = want // self.width, want % self.width
-        bound = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
-        soft = ho @ p["Wc"]
-        soft += p["bc"]
-        soft -= soft.max(initial=-1e30)  # one shift for all rows: their largest numbers are much closer than a float's range
-        at = np.arange(len(want))
-        logp = soft[at, cls]
-        np.exp(soft, out=soft)
-        total = np.maximum(soft @ np.ones(self.classes, np.float32), np.float32(1e-37))
-        logp -= np.log(total)
+        ho, inner = np.take(hs, place, axis=1, mode="clip"), wanted[place] % self.width
+        bound = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        at, logp = np.arange(max(np.diff(bound))), np.empty(len(place), np.float32)
         grads = {k: np.zeros(s, np.float32) for k, s in self.shapes.items()} if learn else None
-        if learn:
-            soft /= total[:, None]
-            soft[at, cls] -= 1
-            grads["Wc"], grads["bc"] = ho.T @ soft, np.ones(len(want), np.float32) @ soft
-            dh = soft @ p["Wc"].T
-        ones, rows = np.ones(self.width, np.float32), np.ones(len(want), np.float32)
+        both = np.empty((self.classes + self.width, n + 1), np.float32)  # weights and biases of the classes, and of a class's words
+        both[: self.classes, :n], both[: self.classes, n] = p["Wc"].T, p["bc"]
+        ones, some = np.ones(len(both), np.float32), np.empty(len(both) * len(at), np.float32)
+        gc, dh = np.zeros((self.classes, n + 1), np.float32), rows_of(n, len(place)) if learn else None
         for k in range(self.classes):
             lo, hi = bound[k], bound[k + 1]
             if lo == hi:
                 continue
-            part, hk = slice(k * self.width, (k + 1) * self.width), ho[lo:hi]
-            ek = hk @ p["Wo"][part].T
-            ek += p["bo"][part]
-            ek -= ek.max()
-            ik = at[: hi - lo], inner[lo:hi]
-            logp[lo:hi] += ek[ik]
-            np.exp(ek, out=ek)
-            sk = np.maximum(ek @ ones, np.float32(1e-37))
-            logp[lo:hi] -= np.log(sk)
+            part, hk = slice(k * self.width, (k + 1) * self.width), ho[:, lo:hi]
+            both[self.classes :, :n], both[self.classes :, n] = p["Wo"][part], p["bo"][part]
+            e = np.matmul(both, hk, out=some[: len(both) * (hi - lo)].reshape(len(both), hi - lo))
+            top, low = e[: self.classes], e[self.classes :]
+            top -= top.max()  # one shift for all columns: their largest numbers are much closer than a float's range
+            low -= low.max()
+            ik = inner[lo:hi], at[: hi - lo]
+            own = logp[lo:hi]
+            np.add(top[k], low[ik], out=own)
+            np.exp(e, out=e)
+            tops, lows = (np.maximum(ones[: len(part_)] @ part_, np.float32(1e-37)) for part_ in (top, low))
+            own -= np.log(tops)
+            own -= np.log(lows)
             if learn:
-                ek /= sk[:, None]
-                ek[ik] -= 1
-                grads["Wo"][part], grads["bo"][part] = ek.T @ hk, rows[: hi - lo] @ ek
-                dh[lo:hi] += ek @ p["Wo"][part]
+                top *= 1 / tops
+                low *= 1 / lows
+                top[k] -= 1
+                low[ik] -= 1
+                g = e @ hk.T
+                gc += g[: self.classes]
+                grads["Wo"][part], grads["bo"][part] = g[self.classes :, :n], g[self.classes :, n]
+                dh[:, lo:hi] = both[:, :n].T @ e
         if learn and len(where):
             scale = np.float32(1 / len(where))
+            grads["Wc"], grads["bc"] = gc[:, :n].T, gc[:, n]
             for k in ("Wc", "bc", "Wo", "bo"):
-                grads[k] *= scale
-            dhs = np.zeros((steps * lanes, n), np.float32)
-            dhs[place] = dh * scale
-            dhs = dhs.reshape(steps, lanes, n).transpose(0, 2, 1)
-            dgx = np.empty((steps, 3 * n, lanes), np.float32)
-            back, dgh = np.zeros((n, lanes), np.float32), np.empty((3 * n, lanes), np.float32)
+                grads[k] = grads[k] * scale
+            dh *= scale
+            dhs, dx = rows_of(n, steps * lanes), rows_of(n, steps * lanes)
+            dhs[:] = 0
+            dhs[:, place] = dh
+            back, dgh, dgx = np.zeros((n, lanes), np.float32), np.empty((3 * n, lanes), np.float32), np.empty((3 * n, lanes), np.float32)
+            embedded, each = np.ascontiguousarray(p["E"].T), np.ones(lanes, np.float32)
+            dz, dr, dc = dgx[:n], dgx[n : 2 * n], dgx[2 * n :]
             for t in reversed(range(steps)):
                 before, z, r, c, ghc = keep[t]
-                d, own = dhs[t] + back, dgx[t]
-                dz, dr, dc = own[:n], own[n : 2 * n], own[2 * n :]
+                at = slice(t * lanes, (t + 1) * lanes)
+                d = dhs[:, at] + back
                 open_ = 1 - z
                 np.multiply(c, c, out=dc)
                 np.subtract(1, dc, out=dc)
@@ -243,18 +285,19 @@ class Model:
                 dr *= r
                 dr *= ghc
                 dr *= dc
-                dgh[: 2 * n] = own[: 2 * n]
+                dgh[: 2 * n] = dgx[: 2 * n]
                 np.multiply(dc, r, out=dgh[2 * n :])
                 grads["Wh"] += before @ dgh.T
+                grads["Wx"] += np.take(embedded, x[t], axis=1, mode="clip") @ dgx.T
+                grads["b"] += dgx @ each
+                dx[:, at] = p["Wx"] @ dgx
                 d *= z
                 back = p["Wh"] @ dgh
                 back += d
                 if starts[t]:
                     back *= 1 - fresh[t]
-            grads["Wx"], grads["b"] = np.matmul(xe.transpose(0, 2, 1), dgx.transpose(0, 2, 1)).sum(axis=0), dgx.sum(axis=2).sum(axis=0)
-            dx, ids = np.matmul(p["Wx"], dgx), x.ravel()
             for j in range(n):
-                grads["E"][:, j] = np.bincount(ids, dx[:, j].ravel(), minlength=self.size)
+                grads["E"][:, j] = np.bincount(x.ravel(), dx[j], minlength=self.size)
         out = np.empty_like(logp)
         out[order] = logp
         return out, where, h.T, grads
@@ -280,7 +323,7 @@ class Lanes:
                 return
             shape = (len(used), self.steps)
             x, y, doc = np.full(shape, self.end, np.int32), np.zeros(shape, np.int32), np.full(shape, -1, np.int64)
-            fresh, live = np.zeros(shape, np.float32), np.zeros(shape, bool)
+            fresh = np.zeros(shape, np.float32)
             begun, ended = [], []
             for row, k in enumerate(used):
                 lane, col = at[k], 0
@@ -297,17 +340,19 @@ class Lanes:
                     n = min(self.steps - col, len(ids) - place)
                     y[row, col : col + n] = ids[place : place + n]
                     if place:
-                        x[row, col : col + n] = ids[place - 1 : place + n - 1]
+                        x[row, col] = ids[place - 1]
                     else:
                         fresh[row, col] = 1
-                        x[row, col + 1 : col + n] = ids[: n - 1]
-                    live[row, col : col + n] = True
                     doc[row, col : col + n] = own
                     col += n
                     lane[1] = place + n
                     if lane[1] == len(ids):
                         ended.append(own)
                         lane[0] = None
+            live = doc >= 0
+            follows = np.flatnonzero(live[:, 1:] & (fresh[:, 1:] == 0))
+            follows += follows // (self.steps - 1)  # as places of the whole rows
+            x.ravel()[follows + 1] = y.ravel()[follows]
             if live.any():
                 yield x.T, y.T, fresh.T, live.T, doc.T, begun, ended, used
 
@@ -343,34 +388,25 @@ def train(model: Model, docs: Iterator[tuple[object, np.ndarray]], end: int) ->
 
 def score(model: Model, docs: Iterator[tuple[object, np.ndarray]], end: int) -> Iterator[tuple[object, float]]:
     """(key, log10 probability of the ids) of each document, as they end."""
-    h, sums, keys = np.zeros((LANES, model.units), np.float32), {}, {}
+    h, sums, keys = np.zeros((LANES, model.units), np.float32), np.zeros(LANES), {}
     for x, y, fresh, live, doc, begun, ended, used in Lanes(docs, end, LANES, 2 * STEPS).windows():
         logp, where, h[used], _ = model.window(x, y, fresh, live, h[used], False)
         keys.update(begun)
         own = doc.ravel()[where]
-        who, inv = np.unique(own, return_inverse=True)
-        for d, s in zip(who.tolist(), np.bincount(inv, logp.astype(np.float64)).tolist(), strict=True):
-            sums[d] = sums.get(d, 0.0) + s
+        low, high = own.min(), own.max() + 1
+        if high > len(sums):
+            sums = np.append(sums, np.zeros(high))
+        sums[low:high] += np.bincount(own - low, logp)
         for d in ended:
-            yield keys.pop(d), sums.pop(d) / math.log(10)
+            yield keys.pop(d), float(sums[d]) / math.log(10)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of this partition's tokens, handed on whenever half a million words are held."""
-
-    def out(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
-
-    held: Counter = Counter()
+    """(word, n) of this partition's tokens, counted within parts."""
     for batch in batches:
-        for text in batch["_t"].to_pylist():
-            held.update(words(text))
-            held[END] += 1
-            if len(held) > 500_000:
-                yield out(held)
-                held = Counter()
-    if held:
-        yield out(held)
+        for part in parts_of(batch["_t"].to_pylist()):
+            each = words(part)[0].value_counts()
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([each.field(0).cast(pa.binary()), pa.array([END], pa.binary())]), pa.concat_arrays([each.field(1), pa.array([len(part)], pa.int64())])], ["word", "n"])
 
 
 def count_words(train_rows: DataFrame) -> tuple[DataFrame, Vocabulary]:
@@ -408,7 +444,7 @@ def _train(shared, flat: np.ndarray):
         texts, size = [], 0
 
         def learn() -> int:
-            symbols = ((None, known.read(t)[2]) for t in sorted(texts, key=len, reverse=True))
+            symbols = ((None, own) for _, own, _ in known.read(sorted(texts, key=len, reverse=True)))
             return train(model, symbols, vocabulary.end)
 
         for batch in batches:
@@ -477,16 +513,16 @@ def _score(shared, flat: np.ndarray):
         vocabulary: Vocabulary = shared.value
         model, known = Model(vocabulary.size).load(flat), Known(vocabulary)
         logs, shares = np.log10(vocabulary.counts + WEIGHT), vocabulary.shares()
+        logs[0] = 0  # what is not sent
 
         def docs():
             for b in batches:
-                rows = zip(*(b[c].to_pylist() for c in ("_rid", "_id", "held_out", "_t")), strict=True)
-                for rid, doc, out, text in sorted(rows, key=lambda r: len(r[3]), reverse=True):  # long texts begin first
-                    own, ids, symbols = known.read(text)
-                    sent = ids > 0
+                rows = sorted(zip(*(b[c].to_pylist() for c in ("_rid", "_id", "held_out", "_t")), strict=True), key=lambda r: len(r[3]), reverse=True)  # long texts begin first
+                for (rid, doc, out, _), (ids, symbols, rare) in zip(rows, known.read([r[3] for r in rows]), strict=True):
                     # Words of a shared symbol have its probability times their share; counts of those not sent are joined later.
-                    inside = logs[ids[sent & (symbols < BINS)]].sum() - shares[symbols].sum()
-                    row = [rid, doc, out, len(ids), int(sent.sum()), float(logs[ids[sent]].sum()), float(inside), [own[k] for k in np.flatnonzero(~sent).tolist()]]
+                    base = logs[ids]
+                    inside = base[symbols < BINS].sum() - shares[symbols].sum()
+                    row = [rid, doc, out, len(ids), len(ids) - len(rare), float(base.sum()), float(inside), rare]
                     yield row, symbols
 
         held, n = [], 0
