@@ -9,6 +9,7 @@ document's id (with a null flag) and count of ids.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -30,9 +31,12 @@ from lexmesh.llm.common import Remembered, cut, fresh_path, text_of
 MAGIC = b"LXIDS001"
 BLOCK = 1 << 16
 END_ID = 1
+END = struct.pack("<I", END_ID)
 TOKENIZER = "word_bpe_49k.json"
 #: Pieces whose ids a worker remembers in each of two generations.
 REMEMBERED = 400_000
+#: Parts of pieces, likewise.
+PARTS = 200_000
 
 
 def planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -144,9 +148,10 @@ class Encoder:
     """The library's ids of whole texts.
 
     Its pattern drops white space and no step looks across it (normal forms and lower case neither), so a text's ids are
-    those of its pieces between blanks in order; each new piece goes to the library once. Plain pieces
-    go there many at a time, joined by spaces: each part that the pattern makes of a piece ends in one end-of-word symbol,
-    so counting parts tells the pieces' ids apart.
+    those of its pieces between blanks in order; each new piece goes to the library once. Plain pieces are told apart
+    into the parts that the pattern makes of them, in lower case, and a part goes to the library once, however it is
+    written and whatever stands beside it. Parts go there many at a time, joined by spaces: each ends in one end-of-word
+    symbol, which tells their ids apart. The library's fast form gives the same ids without their places in the text.
     """
 
     def __init__(self, path: str):
@@ -157,36 +162,51 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.known = Remembered(self._make, REMEMBERED)
+        self.known, self.made = Remembered(self._make, REMEMBERED), Remembered(self._of_parts, PARTS)
         self.odd = regex.compile(r"[\x1c-\x1f]").search  # blank to Python, symbols to the library
         self.between = regex.compile(r"[^ \t\n\r]+").findall
-        self.plain = regex.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+").fullmatch
-        self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.plain = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+        self.parts = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+|\n").findall  # of plain pieces
 
     def pieces(self, text: str) -> list[str]:
         return self.between(text) if self.odd(text) else text.split()
 
     def _make(self, pieces: list[str]) -> list[bytes]:
         word = lambda p: p.isascii() and p.isalpha()
-        out, plain = {}, [p for p in pieces if word(p) or self.plain(p)]
-        if plain:
-            ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, "<u4")
-            counts = np.cumsum([1 if word(p) else len(self.parts(p.lower())) for p in plain])
-            places = np.flatnonzero(self.ends[ids]) + 1
-            if len(places) == counts[-1]:
-                raw, stops = ids.tobytes(), (4 * places[counts - 1]).tolist()
-                out = {p: raw[i:j] for p, i, j in zip(plain, [0, *stops], stops, strict=False)}
+        split = {p: [p.lower()] for p in pieces if word(p)}
+        mixed, parts = [p for p in pieces if p not in split and "<|" not in p and self.plain(p)], []
+        ended = iter(mixed)
+        for part in self.parts("".join([p + "\n" for p in mixed]).lower()):
+            if part == "\n":
+                split[next(ended)], parts = parts, []
+            else:
+                parts.append(part)
+        self.made.need(set().union(*split.values()))
+        out = {p: self.made[parts[0]] if len(parts) == 1 else b"".join(map(self.made.__getitem__, parts)) for p, parts in split.items()}
         rest = [p for p in pieces if p not in out]
-        for p, e in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            out[p] = np.array(e.ids, "<u4").tobytes()
+        out.update(zip(rest, self._each(rest), strict=True))
         return [out[p] for p in pieces]
 
+    def _of_parts(self, parts: list[str]) -> list[bytes]:
+        ids = np.array(self._ids([" ".join(parts)])[0].ids, "<u4")
+        stops = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        if len(stops) != len(parts):
+            return self._each(parts)
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *stops], stops, strict=False)]
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._ids(texts)]
+
+    def _ids(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+
     def encode(self, texts: list[str], group: int = 512) -> Iterator[np.ndarray]:
         for at in range(0, len(texts), group):
             split = [self.pieces(t) for t in texts[at : at + group]]
             self.known.need(set().union(*split))
             for parts in split:
-                yield np.append(np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4"), np.uint32(END_ID))
+                yield np.frombuffer(b"".join([*map(self.known.__getitem__, parts), END]), "<u4")
 
 
 @lru_cache(maxsize=2)

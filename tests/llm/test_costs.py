@@ -3,9 +3,11 @@
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 
 from lexmesh.llm import lm
+from lexmesh.llm.tokenfile import END_ID, TOKENIZER, Encoder
 
 TEXTS = ["", " \n a Bc\x0bÜN ÀB\x1cx\x85y z  end ", "a", "  ", "x y\tz\r\n", "Ab aB \x00q \U0001f600 w", "the end of the end"]
 
@@ -34,3 +36,15 @@ def test_words_are_read_together(monkeypatch):
             own = [*plain(text), lm.END]
             assert ids.tolist() == [v.ids.get(w, 0) for w in own] and symbols.tolist() == [v.symbol(w) for w in own]
             assert rare == [w for w in own if w not in v.ids]
+
+
+def test_parts_of_pieces_go_to_the_library_once():
+    """op3 sends a part once, however it is written and whatever stands beside it, and gets the library's ids."""
+    texts = ["Word, word. (WORD) word's 'word' Ärger! ärger", "it's can't x''s '' a''b 12a3 <|endoftext|> a<|b <| ÿß~ word\x7f \x01 \x1cb", "Straße, STRASSE; naïve—no “word” 北京, ﬁne ét µm ª× a×b", ""]
+    encoder, sent = Encoder(public_tokenizers.path(TOKENIZER)), []
+    library, ids_of = encoder.tokenizer, encoder._ids
+    encoder._ids = lambda some: sent.extend(some) or ids_of(some)
+    for text, ids in zip(texts, encoder.encode(texts, 1), strict=True):
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, END_ID]
+    parts = " ".join(sent).split()
+    assert parts.count("word") == 1 and parts.count("ärger") == 1 and "Word," not in parts
