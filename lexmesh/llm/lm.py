@@ -29,6 +29,8 @@ SENT_WORDS = 60_000
 UNITS = 16
 LANES = 512
 STEPS = 32
+#: Places (lanes by steps) up to which a window's classes are worked on side by side, and what its steps don't hand on at once.
+THIN = 4096
 RATE = 0.01
 CLIP = 5.0
 #: Shares of the training documents in each round; between rounds the models of all tasks are averaged.
@@ -120,10 +122,10 @@ class Known:
     """Ids and symbols of words; only the words sent are held."""
 
     def __init__(self, vocabulary: Vocabulary):
-        sent = sorted(vocabulary.ids, key=vocabulary.ids.__getitem__)
-        self.sent, self.end = pa.array(sent, pa.large_binary()), (vocabulary.ids.get(END, 0), vocabulary.end)
-        self.ids = np.array([0, *map(vocabulary.ids.__getitem__, sent)], np.int32)
-        self.symbols = np.array([0, *map(vocabulary.symbol, sent)], np.int32)
+        self.sent, self.end = pa.array(list(vocabulary.ids), pa.large_binary()), (vocabulary.ids.get(END, 0), vocabulary.end)
+        self.ids = np.array([0, *vocabulary.ids.values()], np.int32)
+        own = self.ids[1:]
+        self.symbols = np.append(0, np.where(own <= vocabulary.own, BINS + own - 1, bins_of(self.sent))).astype(np.int32)
 
     def read(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
         """The ids and symbols of each text's tokens, and its words that are not sent."""
@@ -193,6 +195,8 @@ class Model:
         """
         p, n = self.p, self.units
         steps, lanes = x.shape
+        if x.size <= THIN and live.any():
+            return self.thin(x, y, fresh, live, h, learn)
         x, h = np.ascontiguousarray(x, np.intp), np.ascontiguousarray(h.T)
         sign = np.repeat(np.float32([-1, 1]), (2 * n, n))[:, None]  # for exp(-x) of the gates
         wh, wx = np.ascontiguousarray(p["Wh"].T) * sign, np.ascontiguousarray((p["E"] @ p["Wx"] + p["b"]).T) * sign
@@ -302,6 +306,102 @@ class Model:
         out[order] = logp
         return out, where, h.T, grads
 
+    def thin(self, x, y, fresh, live, h, learn: bool):
+        """The same of a window of few places, where the time goes by the calls: few are made, on all classes and steps.
+
+        What only few long documents are left for would else cost a task more than all the others.
+        """
+        p, n = self.p, self.units
+        steps, lanes = x.shape
+        x = np.ascontiguousarray(x, np.intp).ravel()
+        by_step = lambda a: np.ascontiguousarray(a.reshape(steps, lanes, -1).transpose(0, 2, 1))
+        by_unit = lambda a: a.transpose(1, 0, 2).reshape(a.shape[1], -1)
+        sign = np.repeat(np.float32([-1, 1]), (2 * n, n))  # for exp(-x) of the gates
+        embedded, wh = p["E"][x], np.ascontiguousarray((p["Wh"] * sign).T)
+        gx, gh, hs = by_step((embedded @ p["Wx"] + p["b"]) * sign), np.empty((steps, 3 * n, lanes), np.float32), np.empty((steps + 1, n, lanes), np.float32)
+        gates, z, r, c, ghc = gx[:, : 2 * n], gx[:, :n], gx[:, n : 2 * n], gx[:, 2 * n :], gh[:, 2 * n :]
+        hs[0] = h.T
+        starts, some = fresh.any(axis=1).tolist(), np.empty((n, lanes), np.float32)
+        for t in range(steps):
+            before, after, zr, ct = hs[t], hs[t + 1], gates[t], c[t]
+            if starts[t]:
+                before = before * (1 - fresh[t])
+            np.matmul(wh, before, out=gh[t])
+            zr += gh[t, : 2 * n]
+            np.minimum(zr, np.float32(80), out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            np.multiply(r[t], ghc[t], out=some)
+            ct += some
+            np.tanh(ct, out=ct)
+            np.subtract(before, ct, out=after)
+            after *= z[t]
+            after += ct
+        where, wanted = np.flatnonzero(live.ravel()), y.ravel()
+        cls = (wanted[where] // self.width).astype(np.int16)
+        order = np.argsort(cls, kind="stable")
+        place, k = where[order], cls[order].astype(np.intp)  # from here on by class
+        each, at = np.bincount(k, minlength=self.classes), np.arange(len(place))
+        ho, inner, col = by_unit(hs[1:])[:, place], wanted[place] % self.width, at - (np.cumsum(each) - each)[k]
+        wo, padded = p["Wo"].reshape(self.classes, self.width, n), np.zeros((self.classes, n, each.max()), np.float32)
+        padded[k, :, col] = ho.T
+        top, low = p["Wc"].T @ ho, wo @ padded
+        top += p["bc"][:, None]
+        low += p["bo"].reshape(self.classes, self.width, 1)
+        top -= top.max()
+        low -= low.max(axis=(1, 2), keepdims=True)
+        logp = top[k, at] + low[k, inner, col]
+        np.exp(top, out=top)
+        np.exp(low, out=low)
+        tops, lows = np.maximum(top.sum(axis=0), np.float32(1e-37)), np.maximum(low.sum(axis=1)[k, col], np.float32(1e-37))
+        logp -= np.log(tops)
+        logp -= np.log(lows)
+        grads = None
+        if learn:
+            scale, own = np.float32(1 / len(where)), np.zeros((self.classes, 1, padded.shape[2]), np.float32)
+            own[k, 0, col] = scale / lows
+            top *= scale / tops
+            low *= own  # nothing where no place is
+            top[k, at] -= scale
+            low[k, inner, col] -= scale
+            dh = np.zeros((steps * lanes, n), np.float32)
+            dh[place] = (wo.transpose(0, 2, 1) @ low)[k, :, col] + (p["Wc"] @ top).T
+            dh = by_step(dh)
+            open_, begun = 1 - z, hs[:-1] * (1 - fresh[:, None])
+            dgx = np.empty((steps, 3 * n, lanes), np.float32)
+            dgx[:, :n] = (begun - c) * open_ * z
+            dgx[:, 2 * n :] = open_ * (1 - c * c)
+            dgx[:, n : 2 * n] = dgx[:, 2 * n :] * (1 - r) * r * ghc
+            dgh = dgx.copy()
+            dgh[:, 2 * n :] *= r
+            split, back = dgh.reshape(steps, 3, n, lanes), np.zeros((n, lanes), np.float32)
+            for t in reversed(range(steps)):
+                d = dh[t]
+                d += back
+                split[t] *= d
+                np.matmul(p["Wh"], dgh[t], out=back)
+                np.multiply(z[t], d, out=some)
+                back += some
+                if starts[t]:
+                    back *= 1 - fresh[t]
+            dgx.reshape(steps, 3, n, lanes)[:] *= dh[:, None]
+            dgx, dgh = by_unit(dgx), by_unit(dgh)
+            numbers = (x[:, None] * n + np.arange(n)).ravel()
+            grads = {
+                "E": np.bincount(numbers, (p["Wx"] @ dgx).T.ravel(), self.size * n).reshape(self.size, n).astype(np.float32),
+                "Wx": (dgx @ embedded).T,
+                "Wh": by_unit(begun) @ dgh.T,
+                "b": dgx.sum(axis=1),
+                "Wc": ho @ top.T,
+                "bc": top.sum(axis=1),
+                "Wo": (low @ padded.transpose(0, 2, 1)).reshape(-1, n),
+                "bo": low.sum(axis=2).ravel(),
+            }
+        out = np.empty_like(logp)
+        out[order] = logp
+        return out, where, hs[steps].T, grads
+
 
 class Lanes:
     """Feeds documents to a model in windows; lane k goes on with its document in the next window, so state is carried."""
@@ -554,9 +654,10 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     counts, vocabulary = count_words(rows.filter("not held_out"))
     flat = fit(rows.filter("not held_out"), vocabulary)
     scored = cut(rows.select("_rid", "_id", "held_out", "_t").mapInArrow(_score(spark.sparkContext.broadcast(vocabulary), flat), "_rid long, doc_id long, held_out boolean, n_tokens long, n_sent long, base_sent double, model double, rare array<binary>"), "scored")
-    rare = scored.select("_rid", F.explode("rare").alias("word")).groupBy("word", "_rid").count()
+    # Words that are not sent seldom recur in a text, so counting them by text first would shuffle them twice to save little.
     c = F.coalesce("n", F.lit(0))
-    tail = rare.join(counts, "word", "left").groupBy("_rid").agg(F.sum(F.col("count") * F.log10(c + WEIGHT)).alias("rare_sum"), F.sum(F.when(c > 0, F.col("count")).otherwise(0)).alias("rare_known"))
+    rare = scored.select("_rid", F.explode("rare").alias("word")).join(counts, "word", "left")
+    tail = rare.groupBy("_rid").agg(F.sum(F.log10(c + WEIGHT)).alias("rare_sum"), F.sum((c > 0).cast("long")).alias("rare_known"))
     out = scored.drop("rare").join(tail, "_rid", "left")
     rare_sum = F.coalesce("rare_sum", F.lit(0.0))
     below = math.log10(vocabulary.n + WEIGHT * (vocabulary.v + 1))

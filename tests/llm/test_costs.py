@@ -38,6 +38,26 @@ def test_words_are_read_together(monkeypatch):
             assert rare == [w for w in own if w not in v.ids]
 
 
+def test_thin_windows(monkeypatch):
+    """op6 works on windows of few lanes by few calls: what they give is that of the form for many lanes, to rounding."""
+    rng = np.random.default_rng(1)
+    for size, lanes in ((1444, 7), (50, 3), (30, 1), (1444, 60)):
+        m = lm.Model(size).start(rng.integers(0, 1000, size))
+        m.p = {k: (a + 0.2 * rng.standard_normal(a.shape)).astype(np.float32) for k, a in m.p.items()}
+        x, y = rng.integers(0, size, (2, lm.STEPS, lanes))
+        fresh, live = (rng.random(x.shape) < 0.1).astype(np.float32), rng.random(x.shape) < 0.8
+        h = rng.standard_normal((lanes, m.units)).astype(np.float32)
+        for learn in (True, False):
+            monkeypatch.setattr(lm, "THIN", 0)
+            one = m.window(x, y, fresh, live, h, learn)
+            monkeypatch.setattr(lm, "THIN", lm.STEPS * lanes)
+            two = m.window(x, y, fresh, live, h, learn)
+            assert np.allclose(one[0], two[0], atol=1e-5) and np.array_equal(one[1], two[1]) and np.allclose(one[2], two[2], atol=1e-5)
+            assert (one[3] is None) == (two[3] is None) == (not learn)
+            for k in one[3] or ():
+                assert one[3][k].shape == two[3][k].shape and np.allclose(one[3][k], two[3][k], atol=1e-6)
+
+
 def test_parts_of_pieces_go_to_the_library_once():
     """op3 sends a part once, however it is written and whatever stands beside it, and gets the library's ids."""
     texts = ["Word, word. (WORD) word's 'word' Ärger! ärger", "it's can't x''s '' a''b 12a3 <|endoftext|> a<|b <| ÿß~ word\x7f \x01 \x1cb", "Straße, STRASSE; naïve—no “word” 北京, ﬁne ét µm ª× a×b", ""]
