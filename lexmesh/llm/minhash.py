@@ -25,6 +25,8 @@ SEEDS = (mix(np.arange(1, 513, dtype=np.uint64)) >> np.uint64(32)).astype(np.uin
 
 #: Characters of different texts after which a task of the comparison turns to the groups read so far.
 HELD = 300_000
+#: Sets of a group that are compared by one product of matrices at most, and cells of its matrix (16 MB).
+DENSE_SETS, DENSE_CELLS = 512, 1 << 22
 #: 8-byte keys that a broadcast may hold (about 20 MB as a hash table); more are joined by shuffle. Several are held at a
 #: time, and the driver makes each: a million keys took 150 MB of it.
 MAX_KEYS = 200_000
@@ -36,11 +38,14 @@ def band_keys(hashes: np.ndarray, first: np.ndarray, bands: int, rows: int) -> n
     A value of the signature is the least of the set's hashes under a permutation of its own.
     """
     x = (mix(hashes) >> np.uint64(32)).astype(np.uint32)
+    some, least = np.empty_like(x), np.empty((bands * rows, len(first)), np.uint32)
+    for seed, own in zip(SEEDS[: bands * rows], least, strict=True):
+        np.multiply(x, seed, out=some)
+        np.minimum.reduceat(some, first, out=own)
     out = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[:, None], len(first), axis=1)
     with np.errstate(over="ignore"):
-        for band in range(bands):
-            for seed in SEEDS[band * rows : (band + 1) * rows]:
-                out[band] = mix(out[band] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x * seed, first))
+        for k in range(rows):  # of all bands at once
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + least[k::rows])
     return out.T.view(np.int64)
 
 
@@ -133,8 +138,9 @@ def shared_by(one: np.ndarray, two: np.ndarray) -> int:
 def connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set (distinct numbers) the first set of its component under a Jaccard similarity of percent or more.
 
-    A set is compared with all others at once, through the lists of sets that hold each number. Sets of the largest
-    component need no turn of their own: whatever they could still be linked to has one.
+    Few sets are all compared by one product of matrices. Of more, a set is compared with all others at once, through the
+    lists of sets that hold each number; sets of the largest component need no turn of their own: whatever they could
+    still be linked to has one.
     """
     n = len(sets)
     root, sizes = np.arange(n), np.array([len(s) for s in sets], np.int64)
@@ -142,8 +148,21 @@ def connected(sets: list[np.ndarray], percent: int) -> np.ndarray:
     order = np.argsort(flat)
     ranked, ids = flat[order], np.empty(len(flat), np.int64)
     ids[order] = np.cumsum(np.append(False, ranked[1:] != ranked[:-1]))
-    listed = np.repeat(np.arange(n), sizes)[order]
-    each = np.bincount(ids)
+    each, listed = np.bincount(ids), np.repeat(np.arange(n), sizes)
+    several = each > 1
+    if n <= DENSE_SETS and n * np.count_nonzero(several) <= DENSE_CELLS:
+        there, common = np.zeros((n, np.count_nonzero(several)), np.float32), several[ids]
+        there[listed[common], (np.cumsum(several) - 1)[ids[common]]] = 1
+        both = (there @ there.T).astype(np.int64)
+        both[root, root] = sizes  # with what no other set holds
+        near = 100 * both >= percent * (sizes[:, None] + sizes - both)
+        while True:
+            least = np.where(near, root, n).min(axis=1)
+            least = least[least]
+            if np.array_equal(least, root):
+                return root
+            root = least
+    listed = listed[order]
     begin = np.cumsum(each) - each
     first = np.cumsum(sizes) - sizes
     waiting = np.ones(n, bool)
